@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.leakage import leaks
 from lodestrata.llm.neardup import expand, similar_classes
+from lodestrata.llm.packing import fill, pack
+from lodestrata.llm.spam import spam_scores
 from lodestrata.operators.components import connected_components
 from lodestrata.session import table
 
@@ -43,6 +45,28 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
 
 
+def p6_pack_512(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), 512)
+
+
+def p6_pack_2048(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), 2048)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and used share of both capacities."""
+    return fill(p6_pack_512(spark, sf_dir), 512).withColumn("capacity", F.lit(512)).unionByName(fill(p6_pack_2048(spark, sf_dir), 2048).withColumn("capacity", F.lit(2048)))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of stuffed text and perplexity of each document."""
+    return spam_scores(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_scores(spark, sf_dir).where("stuffed > 0.5").select("doc_id").distinct()
+
+
 _WINDOWS = """
 dw as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents where text is not null),
 dg as (select distinct doc_id, array_to_string(w[k:k+12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from dw where len(w) >= 13)),
@@ -51,7 +75,7 @@ pg as (select distinct item_id, array_to_string(w[k:k+12], ' ') as g from (selec
 hit as (select distinct doc_id, item_id from dg join pg using (g))
 """
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_items": p7_items}
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_items": p7_items, "p6_pack_512": p6_pack_512, "p6_pack_2048": p6_pack_2048, "p6_fill": p6_fill, "p8_found": p8_found, "p8_scores": p8_scores}
 _SETS = """
 words as (select render_id, 'c' as field, list_filter(regexp_extract_all(lower(c_text), '[a-z0-9_]+'), lambda x: not regexp_matches(x, '^[0-9]')) as w from renders where c_text is not null
 union all select render_id, 'a', list_filter(regexp_extract_all(lower(asm_text), '[a-z0-9_]+'), lambda x: not regexp_matches(x, '^[0-9]')) from renders where asm_text is not null),
