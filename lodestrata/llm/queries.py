@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.llm.credentials import secrets
 from lodestrata.llm.leakage import leaks
 from lodestrata.llm.neardup import expand, similar_classes
 from lodestrata.llm.packing import fill, pack
@@ -13,6 +14,20 @@ from lodestrata.operators.components import connected_components
 from lodestrata.session import table
 
 
+def _literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strings = table(spark, sf_dir, "strings").select(F.lit("strings").alias("rec_table"), F.col("string_id").alias("rec_id"), F.col("value").alias("text"))
+    return strings.unionByName(table(spark, sf_dir, "renders").select(F.lit("renders").alias("rec_table"), F.col("render_id").alias("rec_id"), F.col("c_text").alias("text")))
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that hold secrets, with the text in which they are masked."""
+    return secrets(_literals(spark, sf_dir)).distinct()
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(_literals(spark, sf_dir)).select("rec_table", "rec_id").distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = expand(*similar_classes(table(spark, sf_dir, "renders"), "render_id", ["c_text", "asm_text"]))
     return pairs.select(F.col("a").alias("render_id_a"), F.col("b").alias("render_id_b"))
@@ -75,7 +90,7 @@ pg as (select distinct item_id, array_to_string(w[k:k+12], ' ') as g from (selec
 hit as (select distinct doc_id, item_id from dg join pg using (g))
 """
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_items": p7_items, "p6_pack_512": p6_pack_512, "p6_pack_2048": p6_pack_2048, "p6_fill": p6_fill, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_items": p7_items, "p6_pack_512": p6_pack_512, "p6_pack_2048": p6_pack_2048, "p6_fill": p6_fill, "p8_found": p8_found, "p8_scores": p8_scores}
 _SETS = """
 words as (select render_id, 'c' as field, list_filter(regexp_extract_all(lower(c_text), '[a-z0-9_]+'), lambda x: not regexp_matches(x, '^[0-9]')) as w from renders where c_text is not null
 union all select render_id, 'a', list_filter(regexp_extract_all(lower(asm_text), '[a-z0-9_]+'), lambda x: not regexp_matches(x, '^[0-9]')) from renders where asm_text is not null),
