@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.credentials import secrets
+from lodestrata.llm.encoding import garbled
 from lodestrata.llm.leakage import leaks
 from lodestrata.llm.neardup import expand, similar_classes
 from lodestrata.llm.packing import fill, pack
@@ -14,6 +15,19 @@ from lodestrata.operators.components import connected_components
 from lodestrata.session import table
 
 
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled(table(spark, sf_dir, "strings").select(F.col("string_id").alias("rec_id"), "value"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir).select(F.col("rec_id").alias("string_id")).distinct()
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled strings with the original as far as it can be restored."""
+    return _garbled(spark, sf_dir).select(F.col("rec_id").alias("string_id"), "value", "restored", "complete").distinct()
+
+
 def _literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     strings = table(spark, sf_dir, "strings").select(F.lit("strings").alias("rec_table"), F.col("string_id").alias("rec_id"), F.col("value").alias("text"))
     return strings.unionByName(table(spark, sf_dir, "renders").select(F.lit("renders").alias("rec_table"), F.col("render_id").alias("rec_id"), F.col("c_text").alias("text")))
@@ -90,7 +104,7 @@ pg as (select distinct item_id, array_to_string(w[k:k+12], ' ') as g from (selec
 hit as (select distinct doc_id, item_id from dg join pg using (g))
 """
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_items": p7_items, "p6_pack_512": p6_pack_512, "p6_pack_2048": p6_pack_2048, "p6_fill": p6_fill, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_items": p7_items, "p6_pack_512": p6_pack_512, "p6_pack_2048": p6_pack_2048, "p6_fill": p6_fill, "p8_found": p8_found, "p8_scores": p8_scores}
 _SETS = """
 words as (select render_id, 'c' as field, list_filter(regexp_extract_all(lower(c_text), '[a-z0-9_]+'), lambda x: not regexp_matches(x, '^[0-9]')) as w from renders where c_text is not null
 union all select render_id, 'a', list_filter(regexp_extract_all(lower(asm_text), '[a-z0-9_]+'), lambda x: not regexp_matches(x, '^[0-9]')) from renders where asm_text is not null),
