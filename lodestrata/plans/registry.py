@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import problems
+from lodestrata.plans import aggregates, graphs, joins, problems, scalars, scans
 
-MODULES = [problems]
+MODULES = [problems, scans, joins, aggregates, graphs, scalars]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
