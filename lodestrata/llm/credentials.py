@@ -46,14 +46,14 @@ TOKENS = re.compile(
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----([\s\\nr]*(?:[A-Za-z0-9+/=][\s\\]*){24,})")
 PUBLIC = re.compile(r"-----BEGIN (?:(?:RSA |EC |DSA )?PUBLIC KEY|CERTIFICATE(?: REQUEST)?|X509 CRL|PGP PUBLIC KEY BLOCK)-----.*?(?:-----END [A-Z0-9 ]+-----|$)", re.DOTALL)
 DATA_URI = re.compile(r"data:[\w/+.-]*;base64,[A-Za-z0-9+/=]*")
-URL_LOGIN = re.compile(r"[a-z][a-z0-9+.-]*://([^\s:/@\"'<>]*):([^\s/\"'<>]+)@[\w.\[\]-]+")
+URL_LOGIN = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,30}://([^\s:/@\"'<>]*):([^\s/\"'<>]+)@[\w.\[\]-]+")
 ASSIGN = re.compile(r"""(?<![\w$%-])(?P<key>[^\W\d][\w.-]*(?:\[\w*\])?)["']?\s*(?:=>|:=|[=:])\s*(?:(?P<q>["'])(?P<quoted>[^"'\n]*)(?P=q)|(?P<plain>[^\s;&,"'<>][^\s;&"'<>]*))""")
 XML = re.compile(r"""\b(?:key|name)=["'](?P<key>[\w.:-]+)["']\s+value=["'](?P<val>[^"']+)["']""")
 FLAG = re.compile(r"""(?<!\S)--?(?P<key>[a-zA-Z][\w-]*)[ =]["']?(?P<val>[^\s"']+)""")
 HEADER = re.compile(r"""(?i)\b(?P<scheme>bearer|basic|token)\s+(?P<val>[^\s"',;]{8,})""")
 LOGIN = re.compile(r"(?i)\b(?:login|user|username|account)\s+\S+\s+(?:pass(?:word|wd|phrase)?|pwd|pw|kennwort|secret)\s+(?P<val>\S+)")
 WAS = re.compile(r"(?i)\b(?P<key>(?:pass(?:word|wd|phrase|code)?|pwd|pw|kennwort|secret|token|key))\s+(?:was|is|ist|war|es|era|est|était)\s*:?\s+(?P<val>\S+)")
-NOTE = re.compile(r"(?i)(?P<user>\S+)\s*/\s*(?P<val>\S+)\s*<-+\s*(?:credentials|login|password|account|zugang|pass)\b")
+NOTE = re.compile(r"(?i)(?<!\S)(?P<user>\S{1,200})\s{0,4}/\s{0,4}(?P<val>\S{1,400})\s{0,8}<-+\s*(?:credentials|login|password|account|zugang|pass)\b")
 #: Characters given one by one: name[0] = 75; name[1] = 101; or name[] = { 0x4b, 'e', ... }.
 STORES = re.compile(r"(?P<key>[^\W\d]\w*)\[(?:0x)?0+\]\s*=\s*(?:0x[0-9a-fA-F]+|\d+|'(?:\\?.)')\s*;(?:\s*(?P=key)\[\w+\]\s*=\s*(?:0x[0-9a-fA-F]+|\d+|'(?:\\?.)')\s*;)+")
 STORED = re.compile(r"=\s*(0x[0-9a-fA-F]+|\d+|'(?:\\?.)')")
@@ -275,7 +275,7 @@ class Finder:
                     out.append(m.span("val"))
             elif near and not PLACEHOLDER.fullmatch(v) and self.value(v, 1):
                 out.append(m.span("val"))
-        for pattern in (LOGIN, NOTE):
+        for pattern in (LOGIN, NOTE) if "<-" in t else (LOGIN,):
             for m in pattern.finditer(t):
                 if self.value(m["val"], 2):
                     out.append(m.span("val"))

@@ -46,8 +46,9 @@ FAR_CLASS = np.arange(K)
 for _a, _b in (("LW", "LWF"), ("CW", "CWF"), ("UW", "CWF"), ("FILE", "FILEF"), ("SLUG", "SLUGF")):
     FAR_CLASS[CLASS[_a]] = CLASS[_b]
 
-#: Tokens on each side of a scored one; tokens without a function word after which content counts as far; bits above (below) which a window is stuffed.
-RADIUS, FAR, HIGH_BITS, LOW_BITS = 10, 8, 3.5, 0.4
+#: Tokens on each side of a scored one; tokens without a function word after which content counts as far; bits above which a window is stuffed; and
+#: the part of the prose's own mean bits below which it is.
+RADIUS, FAR, HIGH_BITS, LOW_PART = 10, 8, 3.5, 0.25
 #: A line is technical if one in so many of its tokens is; a sentence is prose for training from this share and number of function words.
 TECHNICAL_ONE_IN, PROSE_SHARE, PROSE_WORDS = 16, 0.15, 2
 
@@ -175,16 +176,23 @@ def prose_model(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def spam_scores(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+def train(docs: DataFrame) -> tuple[np.ndarray, float]:
+    """Bits of each 4-gram, and the mean bits of the prose itself."""
+    counts = prose_model(docs)
+    bits = bits_table(counts)
+    return bits, float((counts * bits).sum() / max(counts.sum(), 1))
+
+
+def spam_scores(docs: DataFrame, model: tuple[np.ndarray, float] | None = None) -> DataFrame:
     """doc_id, stuffed (share of the text in stuffed windows), perplexity (mean bits of the scored tokens) of every non-empty text.
 
     Null and empty texts give no row; texts without four scored tokens (code only, a word or two) have stuffed 0 and null perplexity; repeated rows are
-    scored each; other columns are ignored; an empty table gives none. Whole texts are scored. The model is counted anew unless ``bits`` is given.
+    scored each; other columns are ignored; an empty table gives none. Whole texts are scored. The model is counted anew unless one is given.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bits if bits is not None else bits_table(prose_model(docs)))
+    shared = docs.sparkSession.sparkContext.broadcast(model if model is not None else train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, usual = shared.value
         for rows, texts in chunks(batches):
             s = Sequence(texts)
             g = s.grams()
@@ -195,7 +203,7 @@ def spam_scores(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
             mean = np.bincount(s.doc, weights=b, minlength=n) / np.maximum(count, 1)
             b = np.where(has, b, mean[s.doc])  # the first three tokens of a text have no 4-gram
             m = s.mean(b, RADIUS)
-            bad = ((m > HIGH_BITS) | (m < LOW_BITS)) & (count[s.doc] > 0)
+            bad = ((m > HIGH_BITS) | (m < LOW_PART * usual)) & (count[s.doc] > 0)
             share = np.bincount(s.doc, weights=s.size * bad, minlength=n) / np.maximum(s.total, 1)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(share), pa.array(mean, mask=count == 0)], names=["doc_id", "stuffed", "perplexity"])
 

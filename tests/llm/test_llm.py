@@ -10,7 +10,7 @@ from lodestrata.llm.encoding import Repairer, garbled, tokens_of, undo
 from lodestrata.llm.leakage import leaks
 from lodestrata.llm.neardup import MinMax, expand, shingles, similar_classes
 from lodestrata.llm.packing import Slots, encoding, pack, plan
-from lodestrata.llm.spam import bits_table, prose_model, spam_scores
+from lodestrata.llm.spam import spam_scores, train
 
 
 def rows(df, *cols):
@@ -237,7 +237,7 @@ def test_leaks(spark):
     import re
 
     w = lambda t: re.findall("[a-z0-9]+", t.lower())
-    grams = lambda t: {tuple(w(t)[k : k + 13]) for k in range(len(w(t)) - 12)} if t else set()
+    grams = lambda t: {tuple(x[k : k + 13]) for x in [w(t or "")] for k in range(len(x) - 12)}
     assert exact == {(d, i) for d, t in docs for i, p in items if grams(t) & grams(p)}
     assert {(1, 1), (6, 1)} <= exact and (3, 2) in {(r.doc_id, r.item_id) for r in got.collect() if r.template_windows}
     blocks = leaks(df, spark.createDataFrame(items, "item_id bigint, prompt string"), block_chars=300)
@@ -261,8 +261,8 @@ def test_spam_pages(spark):
         107: "", 108: None, 109: "x", 110: "see https://a.example/x-y",
     }
     df = spark.createDataFrame([(i, t, "s") for i, t in docs.items()], "doc_id bigint, text string, stuffed string")
-    bits = bits_table(prose_model(df))
-    got = {r.doc_id: r.stuffed for r in spam_scores(df, bits).collect()}
+    model = train(df)
+    got = {r.doc_id: r.stuffed for r in spam_scores(df, model).collect()}
     assert {i for i, s in got.items() if s > 0.5} - {110} == {100, 101, 102, 103}
     assert 107 not in got and 108 not in got and got[109] == 0
     assert spam_scores(df.limit(0)).count() == 0
