@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.folds import chunked, coalesce_small, place_new, preorder, unique_names
 from lodestrata.operators.graph import reach, strong_components
 from lodestrata.plans.helpers import Book
 from lodestrata.session import cut, table
@@ -109,3 +110,30 @@ def clusters(spark, sf):
     nodes = table(spark, sf, "routines").where("not thunk and not imported").select(F.col("routine_id").alias("v"))
     edges = call_edges(spark, sf).join(nodes.withColumnRenamed("v", "src"), "src", "left_semi").join(nodes.withColumnRenamed("v", "dst"), "dst", "left_semi")
     return label_clusters(edges, nodes).select(F.col("v").alias("routine_id"), "label", "shared")
+
+
+@book.add("e9_preorder", None)
+def member_preorder(spark, sf):
+    """Depth-first order of the routines inside chunks of their source files."""
+    members = table(spark, sf, "routines").where("source_file is not null").select(F.concat_ws(":", "binary_id", "source_file").alias("cluster"), F.col("routine_id").alias("v"))
+    return preorder(chunked(members), call_edges(spark, sf))
+
+
+@book.add("f7_coalesced", None)
+def coalesced(spark, sf):
+    """Adjacent small source files of a folder merged."""
+    c = table(spark, sf, "routines").where("source_file is not null").groupBy("binary_id", "source_file").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes"), F.min("routine_id").alias("pos"))
+    return coalesce_small(c.withColumn("group_key", F.col("binary_id").cast("string")))
+
+
+@book.add("f9_unique_names", None)
+def unique(spark, sf):
+    return unique_names(table(spark, sf, "routines").select(F.col("binary_id").alias("scope"), F.col("routine_id").alias("id"), F.when(F.col("imported"), 1).otherwise(0).alias("prio"), "name"))
+
+
+@book.add("f10_placement", None)
+def placement(spark, sf):
+    """Routines without a source file placed with the first neighbour that has one."""
+    r = table(spark, sf, "routines")
+    members = r.where("source_file is not null").select(F.col("routine_id").alias("v"), F.concat_ws(":", "binary_id", "source_file").alias("cluster"))
+    return place_new(members, call_edges(spark, sf), r.where("source_file is null").select(F.col("routine_id").alias("v")))
