@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,26 +45,72 @@ def trim(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> tuple[
     return edges.select(F.col("src").alias("v")).distinct(), edges
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _components_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strong components of two or more nodes of a graph that fits one task: two passes of depth-first search (Kosaraju), without recursion."""
+    forth: dict[int, list[int]] = {}
+    back: dict[int, list[int]] = {}
+    for b in batches:
+        for s, d in zip(b["src"].tolist(), b["dst"].tolist(), strict=True):
+            forth.setdefault(s, []).append(d)
+            back.setdefault(d, []).append(s)
+    finished, seen = [], set()
+    for root in forth:
+        stack = [(root, iter(forth[root]))] if root not in seen else []
+        seen.add(root)
+        while stack:
+            v, below = stack[-1]
+            for d in below:
+                if d not in seen:
+                    seen.add(d)
+                    stack.append((d, iter(forth.get(d, ()))))
+                    break
+            else:
+                finished.append(v)
+                stack.pop()
+    owner: dict[int, list[int]] = {}
+    taken: set[int] = set()
+    for root in reversed(finished):
+        if root in taken:
+            continue
+        taken.add(root)
+        part, todo = [root], [root]
+        while todo:
+            for d in back.get(todo.pop(), ()):
+                if d not in taken:
+                    taken.add(d)
+                    part.append(d)
+                    todo.append(d)
+        if len(part) > 1:
+            owner[min(part)] = part
+    yield pd.DataFrame({"v": [v for p in owner.values() for v in p], "component": [c for c, p in owner.items() for _ in p]}, dtype="int64")
+
+
+#: Edges up to which one task finds the components; the result is the same either way.
+ONE_TASK_EDGES = 1_000_000
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 10_000, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """v, component of the nodes on cycles through two or more nodes; ``component`` is the component's smallest node.
 
-    Trimming, then rounds of forward colouring: every node takes the smallest node that reaches it; the nodes that reach a colour's node
+    A graph of at most ``one_task`` edges is searched in one task. Beyond: trimming, then rounds of forward colouring: every node takes the smallest node that reaches it; the nodes that reach a colour's node
     backwards inside the colour are its component. Nodes outside are components of their own and aren't listed. Self links, nulls and repeated
     edges are ignored.
     """
-    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    edges = cut(edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")).where("src <> dst").distinct())
+    if edges.count() <= one_task:
+        return cut(edges.coalesce(1).mapInPandas(_components_of, "v bigint, component bigint"))
     out = None
     for _ in range(max_rounds):
         nodes, edges = trim(edges.select(F.col("src").alias("v")), edges)
         if edges.isEmpty():
             break
-        colour = cut(nodes.withColumn("c", F.col("v")))
-        while True:
-            least = edges.join(colour.withColumnRenamed("v", "src"), "src").groupBy("dst").agg(F.min("c").alias("m"))
-            new = cut(colour.join(least.withColumnRenamed("dst", "v"), "v", "left").select("v", F.least("c", F.coalesce("m", "c")).alias("c")))
-            if new.exceptAll(colour).isEmpty():
+        colour = cut(nodes.select("v", F.col("v").alias("c"), F.lit(True).alias("moved")))
+        while True:  # only colours that moved in the last round go out
+            least = edges.join(colour.where("moved").select(F.col("v").alias("src"), "c"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("m"))
+            colour = cut(colour.drop("moved").join(least, "v", "left").select("v", F.least("c", F.coalesce("m", "c")).alias("c"), F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("moved")))
+            if colour.where("moved").isEmpty():
                 break
-            colour = new
+        colour = colour.drop("moved")
         same = edges.join(colour.select(F.col("v").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
         back = same.select(F.col("dst").alias("src_v"), F.col("src").alias("dst_v"), F.col("cs").alias("c"))
         reached = reach(colour.where("v = c").select("v", "c"), back.select("src_v", F.col("c").alias("src_c"), "dst_v", F.col("c").alias("dst_c")), ["v", "c"])
