@@ -128,16 +128,20 @@ def sketches(df: DataFrame, id_col: str, fields: list[str], bands: int = BANDS,
 def nominated(reps: DataFrame, ratio: float, block: int = BLOCK) -> DataFrame:
     """Distinct pairs (field, a, b; a < b) of representatives that share a band and whose sizes allow the similarity ``ratio``.
 
-    Buckets of one member are dropped before the join. A bucket of more than ``block`` members is split: each member meets the others block by block,
+    Buckets of one member are dropped, those of two give their pair at once. A bucket of more than ``block`` members is split: each member meets the others block by block,
     so that no task holds a whole bucket.
     """
     keyed = reps.select("field", "id", "n", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("field", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    shared = keyed.join(sizes, ["field", "key"])
+    member = F.struct("id", "n")
+    buckets = keyed.groupBy("field", "key").agg(F.count(F.lit(1)).alias("m"), F.min(member).alias("lo"), F.max(member).alias("hi")).where("m > 1")
+    # Most buckets have two members: their pair comes out of the aggregation, no join is needed.
+    two = buckets.where("m = 2").select("field", F.col("lo.id").alias("a"), F.col("lo.n").alias("na"), F.col("hi.id").alias("b"), F.col("hi.n").alias("nb"))
+    more = buckets.where("m > 2").select("field", "key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    shared = keyed.join(more, ["field", "key"])
     left = shared.select("field", "key", F.col("id").alias("a"), F.col("n").alias("na"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("blk"))
     right = shared.select("field", "key", F.col("id").alias("b"), F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
-    fits = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(ratio - 1e-9)
-    return left.join(right, ["field", "key", "blk"]).where((F.col("a") < F.col("b")) & fits).select("field", "a", "b").distinct()
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(ratio - 1e-9))
+    return two.where(fits).select("field", "a", "b").unionByName(left.join(right, ["field", "key", "blk"]).where(fits).select("field", "a", "b")).distinct()
 
 
 def similar_classes(df: DataFrame, id_col: str, fields: list[str], numerator: int = 3, denominator: int = 5, **kw) -> tuple[DataFrame, DataFrame]:
