@@ -7,6 +7,7 @@ pair is decided by the exact Jaccard similarity of the shingle sets.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -44,8 +45,6 @@ _memo: dict[str, int] = {}
 
 def _word(w: str) -> int:
     """Stable 64-bit hash of a word (the first 8 bytes of BLAKE2b), remembered in the worker."""
-    import hashlib
-
     if len(_memo) > 500_000:
         _memo.clear()
     _memo[w] = h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
@@ -91,16 +90,19 @@ class MinMax:
 _SKETCH = "id bigint, field string, n int, class string, sh array<bigint>, bands array<bigint>"
 
 
+def _class(shingle_set: np.ndarray) -> str:
+    return hashlib.blake2b(shingle_set.tobytes(), digest_size=16).hexdigest()
+
+
 def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-def sketches(df: DataFrame, id_col: str, fields: list[str], bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, least: int = LEAST_WORDS) -> DataFrame:
-    """One row per text with enough words: its shingle set, the set's hash (``class``: equal sets are copies) and its band keys."""
+def sketches(df: DataFrame, id_col: str, fields: list[str], bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, least: int = LEAST_WORDS, whole: bool = True) -> DataFrame:
+    """One row per text with enough words: its shingle set, the set's hash (``class``: equal sets are copies) and its band keys; of these the class only
+    unless ``whole``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         mm = MinMax(bands, rows)
         for b in batches:
             for field in fields:
@@ -109,20 +111,23 @@ def sketches(df: DataFrame, id_col: str, fields: list[str], bands: int = BANDS,
                     got = [(i, s) for i, t in zip(part.column("id").to_pylist(), texts, strict=True) if t and (s := shingles(t, size, least)) is not None]
                     if got:
                         sets = [s for _, s in got]
+                        if not whole:
+                            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([field] * len(got), pa.string()), pa.array([_class(s) for s in sets], pa.string())], names=["id", "field", "class"])
+                            continue
                         keys = [mm.bands_of(s) for s in sets]
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array([i for i, _ in got], pa.int64()),
                                 pa.array([field] * len(got), pa.string()),
                                 pa.array([len(s) for s in sets], pa.int32()),
-                                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets], pa.string()),
+                                pa.array([_class(s) for s in sets], pa.string()),
                                 pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in sets])], pa.int32()), pa.array(_signed(np.concatenate(sets)))),
                                 pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(_signed(np.concatenate(keys)))),
                             ],
                             names=["id", "field", "n", "class", "sh", "bands"],
                         )
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), *fields).where("id is not null").mapInArrow(run, _SKETCH)
+    return df.select(F.col(id_col).cast("bigint").alias("id"), *fields).where("id is not null").mapInArrow(run, _SKETCH if whole else "id bigint, field string, class string")
 
 
 def nominated(reps: DataFrame, ratio: float, block: int = BLOCK) -> DataFrame:
@@ -156,7 +161,7 @@ def similar_classes(df: DataFrame, id_col: str, fields: list[str], numerator: in
     from lodestrata.session import cut
 
     reps = cut(reps)
-    members = all_.select("field", "class", "id").distinct().join(reps.select("field", "class", F.col("id").alias("rep")), ["field", "class"]).select("field", "id", "rep")
+    members = sketches(df, id_col, fields, whole=False, **{k: v for k, v in kw.items() if k in ("size", "least")}).distinct().join(reps.select("field", "class", F.col("id").alias("rep")), ["field", "class"]).select("field", "id", "rep")
     pairs = nominated(reps.select("field", "id", "n", "bands"), numerator / denominator)
     sets = reps.select("field", "id", "n", "sh")
     a, b = sets.select("field", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sh").alias("sa")), sets.select("field", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sh").alias("sb"))
