@@ -240,14 +240,15 @@ class Finder:
             at += len(line) + 1
         if "[0] = " in t or "= {" in t or "={" in t:
             out += self.stored(t)
-        for m in ENCODED.finditer(t) if not out else ():  # whole logins or settings in base64
-            if free(m.start()) and len(m[0]) >= 16:
+        for m in ENCODED.finditer(t):  # whole logins or settings in base64
+            if free(m.start()) and len(m[0]) >= 16 and not any(x <= m.start() and m.end() <= y for x, y in out):
                 try:
                     raw = base64.b64decode(m[0] + "=" * (-len(m[0]) % 4), validate=True).decode("ascii")
                 except (binascii.Error, ValueError):
                     continue
                 if raw.isprintable() and ASSIGN.search(raw) and self.spans(View(raw, path_like=True)):
-                    out.append(m.span())
+                    met = [s for s in out if s[0] < m.end() and m.start() < s[1]]
+                    out = [s for s in out if s not in met] + [(min([m.start(), *(x for x, _ in met)]), max([m.end(), *(y for _, y in met)]))]
         return out
 
     def named(self, t: str) -> list[tuple[int, int]]:
