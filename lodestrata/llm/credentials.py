@@ -59,12 +59,10 @@ STORES = re.compile(r"(?P<key>[^\W\d]\w*)\[(?:0x)?0+\]\s*=\s*(?:0x[0-9a-fA-F]+|\
 STORED = re.compile(r"=\s*(0x[0-9a-fA-F]+|\d+|'(?:\\?.)')")
 ARRAY = re.compile(r"(?P<key>[^\W\d]\w*)\s*(?:\[\w*\])?\s*=\s*\{(?P<val>\s*(?:0x[0-9a-fA-F]{1,2}|\d{1,3}|'(?:\\?.)')(?:\s*,\s*(?:0x[0-9a-fA-F]{1,2}|\d{1,3}|'(?:\\?.)'))+)\s*,?\s*\}")
 ELEMENT = re.compile(r"0x[0-9a-fA-F]{1,2}|\d{1,3}|'(?:\\?.)'")
+#: At least as wide as STORES and ARRAY.
+STORING = re.compile(r"\[(?:0x)?0+\]\s*=|=\s*\{")
 LITERAL = re.compile(r'"([^"\n]*)"')
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{12,}={0,2}(?![A-Za-z0-9+/=])")
-#: Texts without any of these can't hold what is searched for.
-HINT = re.compile(r"(?i)pass|pwd|pw\b|secret|token|key|auth|kennwort|login|cred|senha|contrase|clave|парол|user|account|bearer|basic|://[^/\s]*@|AKIA|ASIA|xox|eyJ|[a-z]{2,6}[-_][0-9a-z]{3,}|[0-9a-f]{8}\.|\\x[0-9a-f]{2}\\x|AIza|gh[opsur]_|glpat")
-#: Lines without any of these name no secret.
-NAMED = re.compile(r"(?i)pass|pwd|pw\b|secret|token|key|auth|kennwort|login|cred|senha|contrase|clave|парол|bearer|basic|<-")
 _PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ÿа-я]+|[a-zà-ÿа-я]+")
 _WORDS = re.compile(r"[A-Za-z]{2,24}")
 
@@ -233,12 +231,11 @@ class Finder:
         at = 0
         lines = t.split("\n")
         for i, line in enumerate(lines):
-            if NAMED.search(line):
-                # A value may stand on the line after its name.
-                both = f"{line}\n{lines[i + 1]}" if i + 1 < len(lines) and line.rstrip()[-1:] in "=:" else line
-                out += [(at + x, at + y) for x, y in self.named(both) if free(at + x)]
+            # A value may stand on the line after its name.
+            both = f"{line}\n{lines[i + 1]}" if i + 1 < len(lines) and line.rstrip()[-1:] in ("=", ":") else line
+            out += [(at + x, at + y) for x, y in self.named(both) if free(at + x)]
             at += len(line) + 1
-        if "[0] = " in t or "= {" in t or "={" in t:
+        if STORING.search(t):
             out += self.stored(t)
         for m in ENCODED.finditer(t):  # whole logins or settings in base64
             if free(m.start()) and len(m[0]) >= 16 and not any(x <= m.start() and m.end() <= y for x, y in out):
@@ -307,7 +304,7 @@ class Finder:
                 if not s:
                     continue
                 parts = [(x.start(x.re.groups), x[x.re.groups]) for x in element.finditer(t, m.start(group), m.end(group))]
-                codes = [ord(x[-2]) if x[0] == "'" else int(x, 0) for _, x in parts]
+                codes = [ord(x[-2]) if x[0] == "'" else int(x, 16 if x.startswith("0x") else 8 if re.fullmatch("0[0-7]+", x) else 10) for _, x in parts]
                 while codes and not codes[-1]:
                     codes.pop()
                 if all(32 <= c < 127 for c in codes) and self.value("".join(map(chr, codes)), s):
@@ -315,8 +312,6 @@ class Finder:
         return out
 
     def find(self, text: str) -> tuple[View, list[tuple[int, int]]] | None:
-        if not HINT.search(text):
-            return None
         view = View(text, path_like=bool(re.match(r"[A-Za-z]:\\|Software\\", text)))
         spans = self.spans(view)
         return (view, spans) if spans else None

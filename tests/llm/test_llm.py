@@ -134,6 +134,20 @@ def test_encoded_value_of_a_secret_counts_once():
     assert len(set(spans)) == 1 and Finder.mask(view, spans) == "password=" + "*" * 32 + "; next = 1"
 
 
+@pytest.mark.parametrize(
+    ("text", "masked"),
+    [
+        ("cGFzc3dvcmQ9UzNuZG9yITc3eA==", "*" * 28), ('decode("ZGJfcGFzc3dvcmQ9UzNuZG9yITc3eA==");', 'decode("' + "*" * 32 + '");'), (r"\160\141\163\163\167\157\162\144=Torsal1460*", r"\160\141\163\163\167\157\162\144=" + "*" * 11),
+        (r"\u0070\u0061\u0073\u0073\u0077\u006f\u0072\u0064=Torsal1460*", r"\u0070\u0061\u0073\u0073\u0077\u006f\u0072\u0064=" + "*" * 11), ("admin / Kel5898?q <-- zugang", "admin / ********* <-- zugang"), ("pw_buf = Kel5898?q", "pw_buf = *********"),
+        ("password[0]='K';password[1]='7';password[2]='!';password[3]='q';password[4]='9';", "password[0]='*';password[1]='*';password[2]='*';password[3]='*';password[4]='*';"),
+        ("password[0x0] = 75; password[0x1] = 067; password[0x2] = 33; password[0x3] = 113; password[0x4] = 57;", "password[0x0] = 00; password[0x1] = 000; password[0x2] = 00; password[0x3] = 000; password[0x4] = 00;"),
+        ("char password[]  =\n{75, 55, 33, 113, 57};", "char password[]  =\n{00, 00, 00, 000, 00};"),
+    ],
+)
+def test_secrets_without_a_plain_name(text, masked):
+    assert Finder.mask(*FINDER.find(text)) == masked
+
+
 def test_secrets_of_a_table(spark):
     df = spark.createDataFrame([("s", i, t, "z") for i, t in enumerate([None, "", "x" * 300_000, "password = Torsal1460*", "password = Torsal1460*"])], "rec_table string, rec_id bigint, text string, secrets string")
     assert rows(secrets(df), "rec_id", "text") == [(3, "password = ***********"), (4, "password = ***********")]
