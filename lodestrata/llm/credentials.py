@@ -1,6 +1,6 @@
 """Credentials in literals, configuration and code.
 
-Identifiers and literals are segmented into dictionary words by Viterbi over the word counts of the whole corpus. An identifier whose words name a
+Identifiers and literals are segmented into dictionary words by Viterbi over the words of the corpus's distinct lines. An identifier whose words name a
 secret (``smtp_password``, ``webhookSecret``) opens an assignment context; a value in such a context that the dictionary leaves unexplained is a
 secret. Known formats of hashes, public keys and certificates, placeholders, format strings and references are excluded; tokens with a public format,
 private keys and logins in URLs count in any context. Escapes and split literals are undone before the search, and every finding is mapped back to its
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.batches import chunks
 
-#: Words on at least this share of all word occurrences form the dictionary, so it can't hold more than 1 / SHARE words.
+#: Words on at least this share of all word counts form the dictionary, so it can't hold more than 1 / SHARE words.
 DICTIONARY_SHARE = 5e-6
 #: Residual characters that make a value a secret: beside a name of a secret, and beside a weak name (token, key, auth, login).
 STRONG_RESIDUAL, WEAK_RESIDUAL = 1, 8
@@ -64,7 +64,9 @@ STORING = re.compile(r"\[(?:0x)?0+\]\s*=|=\s*\{")
 LITERAL = re.compile(r'"([^"\n]*)"')
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{12,}={0,2}(?![A-Za-z0-9+/=])")
 _PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ÿа-я]+|[a-zà-ÿа-я]+")
-_WORDS = re.compile(r"[A-Za-z]{2,24}")
+#: Runs of letters beside a digit are parts of ids and secrets.
+_WORDS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2,}+(?!\d)")
+_LONGEST_WORD = 24
 
 
 class Segmenter:
@@ -338,7 +340,10 @@ class Finder:
 
 
 def dictionary(texts: DataFrame, share: float = DICTIONARY_SHARE) -> dict[str, int]:
-    """Words of ``text`` with at least ``share`` of all word occurrences, counted over the whole corpus (at most 1 / share words reach the driver)."""
+    """Words of ``text`` with at least ``share`` of all word counts over the whole corpus (at most 1 / share words reach the driver).
+
+    A word counts once per distinct line, so that a secret in copies or near copies of a text doesn't become a word. Distinct lines are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -349,20 +354,15 @@ def dictionary(texts: DataFrame, share: float = DICTIONARY_SHARE) -> dict[str, i
             return b
 
         for _, part in chunks(batches):
-            raw: Counter[str] = Counter()
             for t in part:
-                if t:
-                    raw.update(_WORDS.findall(t))
-            for w, n in raw.items():
-                for p in _PIECE.findall(w):
-                    if len(p) > 2:
-                        counts[p.lower()] += n
+                counts.update({p.lower() for w in _WORDS.findall(t) for p in _PIECE.findall(w) if 2 < len(p) <= _LONGEST_WORD})
             if len(counts) > 200_000:
                 yield flush()
         if counts:
             yield flush()
 
-    words = texts.select("text").where("text is not null").mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("line")).select(F.trim("line").alias("text")).where(F.col("text").rlike("[A-Za-z]{3}")).distinct()
+    words = lines.mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     total = words.agg(F.sum("n").alias("total"))
     kept = words.join(F.broadcast(total), F.col("n") >= F.greatest(F.col("total") * share, F.lit(3)))
     return {r.w: r.n for r in kept.toLocalIterator()}
@@ -372,7 +372,8 @@ def secrets(texts: DataFrame, counts: dict[str, int] | None = None) -> DataFrame
     """rec_table, rec_id, secrets (their number) and masked text of each text that holds a secret.
 
     ``texts`` has rec_table, rec_id and text. Null and empty texts hold none; repeated rows give repeated rows; other columns are ignored; an empty
-    table gives none. Whole texts are searched; texts are read twice (dictionary, search) and never shuffled.
+    table gives none. Whole texts are searched; texts are read twice (dictionary, search); the dictionary shuffles their
+    distinct lines.
     """
     shared = texts.sparkSession.sparkContext.broadcast(counts if counts is not None else dictionary(texts))
 
