@@ -1,7 +1,7 @@
 """Keyword-stuffed, link-list and tag pages, by perplexity under an n-gram model of prose.
 
 Texts become sequences of function-word classes (determiner, preposition, conjunction, pronoun, auxiliary, adverb; in six languages) and word classes
-(lower-case, capitalised, file name, link slug, punctuation and so on). A content word far from any function word has a class of its own. A 4-gram
+(lower-case, capitalised, file name, link, punctuation and so on). A content word far from any function word has a class of its own. A 4-gram
 model is counted over the prose of the whole corpus: the sentences with a usual share of function words. Windows of a page whose
 perplexity is abnormally high (words, links and tags that no sentence holds together) or abnormally low (the same few words over and over) are
 stuffed; a page is spam if they hold more than half of its text. Lines of code, assembly, logs, symbol tables and lists of described functions are
@@ -36,12 +36,13 @@ TECHNICAL = frozenset(
 LOG_LEVELS = frozenset("TRACE DEBUG INFO WARN WARNING ERROR FATAL".split())
 SUFFIXES = re.compile(r"\.(?:dll|so|dylib|exe|sys|lib)(?:\.|$)", re.IGNORECASE)
 PUNCTUATION = {".": "DOT", "?": "DOT", ",": "COMMA", ":": "COLON", "!": "EXCL", "|": "BAR", "·": "BAR", "►": "BAR", "/": "BAR", "•": "BUL", "-": "BUL", "*": "BUL", "–": "BUL", "—": "BUL", "(": "BRK", ")": "BRK", "[": "BRK", "]": "BRK", '"': "BRK", "<": "BRK", ">": "BRK", "\n": "NL", "\x00": "END"}
-NAMES = ["DET", "PREP", "CONJ", "PRON", "AUX", "ADV", "LW", "CW", "UW", "NUM", "HEX", "ID", "FILE", "SLUG", "LINK", "TAG", "DOT", "COMMA", "COLON", "EXCL", "BAR", "BUL", "BRK", "OP", "NL", "TECH", "MIX", "LWF", "CWF", "FILEF", "SLUGF", "END"]
+NAMES = ["DET", "PREP", "CONJ", "PRON", "AUX", "ADV", "LW", "CW", "UW", "NUM", "HEX", "ID", "FILE", "SLUG", "TAG", "DOT", "COMMA", "COLON", "EXCL", "BAR", "BUL", "BRK", "OP", "NL", "TECH", "MIX", "LWF", "CWF", "FILEF", "SLUGF", "END"]
 CLASS = {n: i for i, n in enumerate(NAMES)}
 K = len(NAMES)
 _FUNCTION = {w: CLASS[k] for k in reversed(FUNCTION_WORDS) for w in FUNCTION_WORDS[k].split()}
 IS_FUNCTION = np.arange(K) < 6
-IS_TECHNICAL = np.isin(np.arange(K), [CLASS[x] for x in ("HEX", "ID", "TECH", "LINK")])
+IS_WORD = ~np.isin(np.arange(K), [CLASS[x] for x in ("DOT", "COMMA", "COLON", "EXCL", "BAR", "BUL", "BRK", "OP", "NL", "END")])
+IS_TECHNICAL = np.isin(np.arange(K), [CLASS[x] for x in ("HEX", "ID", "TECH")])
 FAR_CLASS = np.arange(K)
 for _a, _b in (("LW", "LWF"), ("CW", "CWF"), ("UW", "CWF"), ("FILE", "FILEF"), ("SLUG", "SLUGF")):
     FAR_CLASS[CLASS[_a]] = CLASS[_b]
@@ -49,8 +50,9 @@ for _a, _b in (("LW", "LWF"), ("CW", "CWF"), ("UW", "CWF"), ("FILE", "FILEF"), (
 #: Tokens on each side of a scored one; tokens without a function word after which content counts as far; bits above which a window is stuffed; and
 #: the part of the prose's own mean bits below which it is.
 RADIUS, FAR, HIGH_BITS, LOW_PART = 10, 8, 3.5, 0.25
-#: A line is technical if one in so many of its tokens is; a sentence is prose for training from this share and number of function words.
-TECHNICAL_ONE_IN, PROSE_SHARE, PROSE_WORDS = 16, 0.15, 2
+#: A line is technical if one in so many of its tokens is and either one in so many of its words or function words are as frequent as in prose (one in
+#: so many words), so that a name or two don't hide a line of keywords; a sentence is prose for training from this share and number of function words.
+TECHNICAL_ONE_IN, TECHNICAL_WORDS, FUNCTION_ONE_IN, PROSE_SHARE, PROSE_WORDS = 16, 4, 8, 0.15, 2
 
 _TOKEN = re.compile(r"https?://[^\s\x00)\]>\"']+|\d+(?::\d+)+|#\w+|\w+(?:[.'’-]\w+)*|\n|[^\w\s]")
 _IDENTIFIER = re.compile(r".*_|.*[a-z][A-Z]|.*[A-Z]{2}[a-z]")
@@ -64,9 +66,8 @@ def word_class(t: str) -> int:
         return CLASS[name]
     if t[0] == "#" and len(t) > 1:
         return CLASS["TAG"]
-    if t.startswith("http"):
-        last = t.rstrip("/").rsplit("/", 1)[-1]
-        return CLASS["SLUG" if "-" in last and "_" not in last else "LINK"]
+    if t.startswith(("http://", "https://")):
+        return CLASS["SLUG"]
     if not (t[0].isalnum() or t[0] == "_"):
         return CLASS["OP"]
     low = t.lower()
@@ -114,7 +115,9 @@ class Sequence:
         doc, line = np.cumsum(end) - end, np.cumsum(line_end) - line_end
         n = np.bincount(line)
         marks = np.bincount(line, weights=IS_TECHNICAL[c], minlength=len(n))
-        keep = ~((marks > 0) & (marks * TECHNICAL_ONE_IN >= n))[line] & ~end
+        words, function = (np.bincount(line, weights=x[c], minlength=len(n)) for x in (IS_WORD, IS_FUNCTION))
+        told = (marks * TECHNICAL_WORDS >= words) | (function > 0) & (function * FUNCTION_ONE_IN >= words)
+        keep = ~((marks > 0) & (marks * TECHNICAL_ONE_IN >= n) & told)[line] & ~end
         self.total = np.bincount(doc, weights=size, minlength=len(texts))
         self.doc, self.size, c = doc[keep], size[keep], c[keep]
         at = np.arange(len(c))

@@ -305,3 +305,18 @@ def test_spam_pages(spark):
     assert 107 not in got and 108 not in got and got[109] == 0
     assert spam_scores(df.limit(0)).count() == 0
     assert spam_scores(df.select("doc_id", F.col("text"))).count() == len(docs) - 2
+
+
+def test_links_of_any_spelling_and_keywords_with_a_name_are_stuffed(spark):
+    rnd = random.Random(6)
+    noun = "table reader packet buffer module parser writer section header function".split()
+    prose = lambda n: " ".join(f"The {rnd.choice(noun)} of the {rnd.choice(noun)} is read before it is written to the {rnd.choice(noun)}." for _ in range(n))
+    promo = "cheap download crack keygen serial driver free license".split()
+    word = lambda: rnd.choice(promo)
+    docs = {i: prose(6) for i in range(40)}
+    docs |= {
+        100: "\n".join(f"https://a.example/{word()}" for _ in range(40)), 101: "\n".join(f"- [{word()} {word()}](https://a.example/{word()}/{word()}.html)" for _ in range(30)), 102: "\n".join(f"[{word().title()} {word()}](https://shop.example/item_{i}?id={i})" for i in range(30)),
+        103: "\n".join(" ".join(word() for _ in range(14)) + " getRight" for _ in range(15)), 104: prose(20) + "\nhttps://a.example/download", 105: "- `PackRawEntry`: links the root thread\n- `link_record_segment`: walks the fast graph\n" * 9, 106: "| name | size | section |\n" + "| lu_decode_session | 1371 | .text |\n" * 20,
+    }
+    df = spark.createDataFrame([(i, t) for i, t in docs.items()], "doc_id bigint, text string")
+    assert {r.doc_id for r in spam_scores(df).collect() if r.stuffed > 0.5} == {100, 101, 102, 103}
