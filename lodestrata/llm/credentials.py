@@ -37,7 +37,9 @@ WEAK = {*"token key auth login bearer authorization credentials".split()}
 #: A name that ends with one of these describes a secret and doesn't hold it.
 DESCRIBES = {*"length len min max ttl size count id ids name names type kind path file dir url uri host port hint prompt label policy expiry expires expiration timeout age rotation enabled required hash digest checksum sha md5 fingerprint ref field column table index format version reset mask".split()}
 HASH_NAMES = re.compile(r"(?i)(?:^|[_\W])(?:md5|sha\d*|sha-\d+|crc\d*|etag|digest|checksum|hash|build.?id|fingerprint|integrity|commit|revision|uuid|guid)(?:$|[_\W])")
-PLACEHOLDER = re.compile(r"(?i)(?:[x*.•_#-]+|<[^>]*>?|\$\{.*|\$\(.*|\$\w+|%\w*%?|%.*%[sd].*|%[-\d.]*[a-z]{1,3}|\{+.*|\[.*\]|@\w+@|(?:your|my|insert|enter|change|replace|example|dummy|sample|placeholder|redacted|todo|tbd|fixme)[-_ ]?.*|null|none|nil|true|false|on|off|yes|no|undefined|n/?a|empty)")
+PLACEHOLDER = re.compile(r"(?i)(?:[x*.•_#-]+|<[^>]*>?|\$\{.*|\$\(.*|(?-i:\$[A-Z0-9_]+)|%\w*%?|%.*%[sd].*|%[-\d.]*[a-z]{1,3}|\{+[^{}]*\}+|\{+(?:0x\w*|\d*),?|\[[A-Za-z _.-]*\]|@\w+@|change[-_ ]?(?:me|it|this)|null|none|nil|true|false|on|off|yes|no|undefined|n/?a|empty)")
+#: Begins a placeholder if a separator or nothing but words follow.
+FILL_IN = re.compile(r"(?i)(?:your|my|insert|enter|change|replace|example|dummy|sample|placeholder|redacted|todo|tbd|fixme)")
 REFERENCE = re.compile(r"[A-Za-z_]\w*(?:\(|->|\[|\.[A-Za-z_]+(?:\.|\(|\[|$)).*|(?:getenv|env|vault|process|os|config|cfg|self|this)[.:(\[].*")
 TOKENS = re.compile(
     r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|xox[abeprs]-[0-9]{5,}-[0-9A-Za-z-]{10,}|gh[opsur]_[0-9A-Za-z]{30,}|glpat-[0-9A-Za-z_-]{20,}|AIza[0-9A-Za-z_-]{30,}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}"
@@ -193,9 +195,20 @@ class Finder:
             return 2
         return 1 if ws[-1] in WEAK else 0
 
-    def value(self, v: str, strength: int) -> bool:
-        """Whether a value beside a name of this strength is a secret."""
-        if len(v) < LEAST_LENGTH or not v.isprintable() or PLACEHOLDER.fullmatch(v) or REFERENCE.fullmatch(v) or re.search(r"%[-\d.]*(?:l*[sdxu])|\$\{|\{\{|\*{3}|[xX]{4}|://|\s", v):
+    def placeholder(self, v: str) -> bool:
+        """Whether a value stands for one that is to be filled in, or names a variable."""
+        if PLACEHOLDER.fullmatch(v):
+            return True
+        if re.fullmatch(r"\$[A-Za-z_]+", v):
+            return self.words.residual(v[1:]) < 4  # short parts of names, as in $db_pass, are no words
+        if m := FILL_IN.match(v):
+            rest = re.sub(r"[-_]?(?:0+|1|12|123\d*)$", "", v[m.end() :])
+            return not rest or not self.words.residual(rest) or rest[0] in "-_ ." and all(c.isalpha() or c in "-_ .:!?" for c in rest)
+        return False
+
+    def value(self, v: str, strength: int, blanks: bool = False) -> bool:
+        """Whether a value beside a name of this strength is a secret; ``blanks``: it is quoted and may hold blanks."""
+        if len(v) < LEAST_LENGTH or not v.isprintable() or self.placeholder(v) or REFERENCE.fullmatch(v) or re.search(r"%[-\d.]*(?:l*[sdxu])|\$\{|\{\{|\*{3}|[xX]{4}|://", v) or re.search(r"^\s|\s$|[:?.…]$" if blanks and strength == 2 and " " in v else r"\s", v):
             return False
         if v.isdigit() and len(v) < 12 and strength < 2 or re.fullmatch(r"0x[0-9a-fA-F]+", v):
             return False
@@ -211,7 +224,7 @@ class Finder:
         except (binascii.Error, ValueError):
             return False
         user, colon, word = raw.partition(":")
-        return bool(user and colon and raw.isprintable() and len(word) >= 3 and not PLACEHOLDER.fullmatch(word) and not re.search(r"%[sd]|\$\{|\s", raw))
+        return bool(user and colon and raw.isprintable() and len(word) >= 3 and not self.placeholder(word) and not re.search(r"%[sd]|\$\{|\s", raw))
 
     def spans(self, view: View) -> list[tuple[int, int]]:
         """[start, end) of the secrets in the view."""
@@ -224,11 +237,11 @@ class Finder:
         for m in TOKENS.finditer(t):
             v = m[0]
             before = t[max(0, m.start() - 24) : m.start()]
-            if free(m.start()) and "EXAMPLE" not in v.upper() and not PLACEHOLDER.fullmatch(v) and not re.search(r"[xX*]{5}", v) and not HASH_NAMES.search(before) and self.words.residual(v) >= WEAK_RESIDUAL:
+            if free(m.start()) and "EXAMPLE" not in v.upper() and not self.placeholder(v) and not re.search(r"[xX*]{5}", v) and not HASH_NAMES.search(before) and self.words.residual(v) >= WEAK_RESIDUAL:
                 out.append(m.span())
         if "://" in t and "@" in t:
             for m in URL_LOGIN.finditer(t):
-                if not PLACEHOLDER.fullmatch(m[2]) and not re.search(r"%[sd]|\$\{|\{\{|^[*xX]+$", m[2]) and m[2].lower() not in ("password", "pass", "secret", "pw"):
+                if not self.placeholder(m[2]) and not re.search(r"%[sd]|\$\{|\{\{|^[*xX]+$", m[2]) and m[2].lower() not in ("password", "pass", "secret", "pw"):
                     out.append(m.span(2))
         at = 0
         lines = t.split("\n")
@@ -260,7 +273,7 @@ class Finder:
             s = self.name(m["key"].rsplit(".", 1)[-1])
             if s:
                 v = m[g].rstrip(",)]}") if g == "plain" else m[g]
-                if not re.match(r"(?i)(?:bearer|basic|token)(?:\s|$)", v) and self.value(v, s):
+                if not re.match(r"(?i)(?:bearer|basic|token)(?:\s|$)", v) and not (g == "plain" and PLACEHOLDER.fullmatch(m[g].rstrip(",)"))) and self.value(v, s, g == "quoted"):
                     out.append((at, at + len(v)))
                     at += len(v)
         for pattern in (XML, FLAG):
@@ -273,7 +286,7 @@ class Finder:
             if m["scheme"].lower() == "basic":
                 if self.basic(v):
                     out.append(m.span("val"))
-            elif near and not PLACEHOLDER.fullmatch(v) and self.value(v, 1):
+            elif near and not self.placeholder(v) and self.value(v, 1):
                 out.append(m.span("val"))
         for pattern in (LOGIN, NOTE) if "<-" in t else (LOGIN,):
             for m in pattern.finditer(t):

@@ -148,6 +148,16 @@ def test_secrets_without_a_plain_name(text, masked):
     assert Finder.mask(*FINDER.find(text)) == masked
 
 
+@pytest.mark.parametrize("secret", ["MySecr3t!9", "Mydb4491Kq", "Enterprise#2291kq", "my-Kq7zXw!9", "$ecret77", "{q7!Kd92", "'[q7!Kd92]'", "'quiltorsa marvik bendoro'"])
+def test_secret_that_begins_as_a_placeholder(secret):
+    assert Finder.mask(*FINDER.find(f"password = {secret}")) == "password = " + (secret if secret[0] != "'" else secret[1:-1]).join(["'"] * 2 if secret[0] == "'" else ["", ""]).replace(secret.strip("'"), "*" * len(secret.strip("'")))
+
+
+@pytest.mark.parametrize("value", ["your-key-here", "YOUR_API_KEY_123", "changeme", "mypassword", "$db_pass", "$PASSWORD", "{vault_pw}", "[hidden]", "todo", "'Enter the password'", "{0x4b, 0x37};"])
+def test_placeholder(value):
+    assert not FINDER.find(f"password = {value}")
+
+
 def test_secrets_of_a_table(spark):
     df = spark.createDataFrame([("s", i, t, "z") for i, t in enumerate([None, "", "x" * 300_000, "password = Torsal1460*", "password = Torsal1460*"])], "rec_table string, rec_id bigint, text string, secrets string")
     assert rows(secrets(df), "rec_id", "text") == [(3, "password = ***********"), (4, "password = ***********")]
