@@ -17,7 +17,7 @@ PE_MACHINES = {0x14C: "x86", 0x8664: "x86_64", 0x1C0: "arm", 0x1C4: "arm", 0xAA6
 MACHO_CPUS = {7: "x86", 0x01000007: "x86_64", 12: "arm", 0x0100000C: "arm64", 18: "ppc", 0x01000012: "ppc64"}
 DT = {"NEEDED": 1, "STRTAB": 5, "SYMTAB": 6, "STRSZ": 10, "SONAME": 14, "RPATH": 15, "RUNPATH": 29, "HASH": 4, "GNU_HASH": 0x6FFFFEF5, "VERSYM": 0x6FFFFFF0, "VERNEED": 0x6FFFFFFE, "VERNEEDNUM": 0x6FFFFFFF}
 DYLIB_KINDS = {0xC: "needed", 0x80000018: "weak", 0x8000001F: "reexport", 0x20: "lazy", 0x80000023: "upward"}
-MOST_SYMBOLS = 2_000_000
+MOST_SYMBOLS, MOST_MACHO_SYMBOLS = 2_000_000, 4_000_000
 
 
 def classify(head: bytes) -> str:
@@ -277,7 +277,9 @@ def parse_macho(data: bytes, at: int = 0) -> dict[str, Any]:
             out["notes"].append(f"export trie: {e}")
     if symtab:
         off, n, strings, _ = symtab
-        for k in range(min(n, MOST_SYMBOLS)):
+        if n > MOST_MACHO_SYMBOLS:
+            out["notes"].append(f"{n} symbols, the first {MOST_MACHO_SYMBOLS} were read")
+        for k in range(min(n, MOST_MACHO_SYMBOLS)):
             name, kind, _, desc, value = struct.unpack_from(order + ("IBBHQ" if wide else "IBBHI"), data, at + off + k * (16 if wide else 12))
             if kind & 0xE0 or not kind & 1 or not name:  # debugging entries and local symbols
                 continue

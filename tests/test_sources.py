@@ -73,6 +73,20 @@ def test_macho():
     assert classify(fat) == "macho_fat" and link_facts(fat)[0]["exports"] == f["exports"]
 
 
+def test_macho_symbols_beyond_the_cap_are_noted(monkeypatch):
+    from lodestrata.sources import formats
+
+    assert formats.MOST_MACHO_SYMBOLS == 4_000_000
+    strings = b"\0_main\0_next\0"
+    symtab = struct.pack("<6I", 2, 24, 56, 2, 88, len(strings))
+    symbols = struct.pack("<IBBHQ", 1, 0xF, 1, 0, 0x1000) + struct.pack("<IBBHQ", 7, 0xF, 1, 0, 0x2000)
+    data = struct.pack("<8I", 0xFEEDFACF, 0x01000007, 3, 2, 1, 24, 0, 0) + symtab + symbols + strings
+    assert len(link_facts(data)[0]["exports"]) == 2 and not link_facts(data)[0]["notes"]
+    monkeypatch.setattr(formats, "MOST_MACHO_SYMBOLS", 1)
+    f = link_facts(data)[0]
+    assert len(f["exports"]) == 1 and f["notes"] == ["2 symbols, the first 1 were read"]
+
+
 def test_export_trie():
     #       root: edge "_a" -> 6            node: flags 0, address 0x10, edge "b" -> 14  leaf: flags 0, address 0x20
     trie = b"\x00\x01_a\x00\x06" + b"\x02\x00\x10\x01b\x00\x0d" + b"\x02\x00\x20\x00"
