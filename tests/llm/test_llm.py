@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm.credentials import Finder, Segmenter, secrets
-from lodestrata.llm.encoding import Repairer, garbled, tokens_of, undo
+from lodestrata.llm.encoding import Repairer, garbled, tokens_of, undo, word_repairs
 from lodestrata.llm.leakage import leaks
 from lodestrata.llm.neardup import MinMax, expand, shingles, similar_classes
 from lodestrata.llm.packing import Slots, encoding, pack, plan
@@ -75,9 +75,47 @@ def test_lone_signs_get_their_neighbours():
     assert [k for _, k, _ in tokens_of("Rate × 2 ok") if k] == ["Rate × 2"]
 
 
-def test_cut_off_word():
-    r = Repairer({"Größe": 50, "ungültig": 50}, {}, {}, [("latin-1", "utf-8")], 100)
-    assert r.repair("ungÃ¼lti") == ("ungülti", True)
+def test_cut_off_word(spark):
+    words = spark.createDataFrame([("Größe", 50), ("ungültig", 50), ("ungÃ¼lti", 1)], "item string, n bigint")
+    got = word_repairs(words, spark.createDataFrame([("ungÃ¼lti",)], "item string"), [("latin-1", "utf-8")])
+    assert {r.item: (r.best, r.cut_best) for r in got.collect()} == {"Größe": (None, None), "ungültig": (None, None), "ungÃ¼lti": (None, "ungülti")}
+    r = Repairer({}, {}, [("latin-1", "utf-8")])
+    assert r.repair("so ungÃ¼lti", {}, "ungülti") == ("so ungülti", True)
+
+
+SIGNS = ["╔════╗", "▒▒▒", "→ ← ↑ ↓", "■□■□", "★★★☆☆", "🎉🎉 🚀", "「」、。・", "── │ ──", "…—…", "∑∏∫≤≥", "①②③", "ไทย ไทย", "中文字符", "日本語のテキスト", "한국어 문장", "שלום עולם"]
+
+
+def test_signs_and_scripts_without_blanks_are_correct(spark):
+    """Reading their bytes as other units gives letters, but no words that the corpus knows."""
+    texts = corpus() + [s for s in SIGNS for _ in range(4)] + [f"{s} item {i}" for s in SIGNS for i in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "rec_id bigint, value string")
+    assert {r.value for r in garbled(df).collect()} == set()
+
+
+def test_most_garbled_texts_are_restored(spark):
+    """Synthetic garbling of clean texts in several ways: share found and share restored exactly."""
+    from random import Random
+
+    r = Random(3)
+    words = "größe gerät für schlüssel öffnen über prüfen zurück créer périphérique été données clé système configuração não versão opções padrão ação mnoho položek příliš přístup chyba čtení hlavičky ошибка чтения файла модуля загрузка завершена".split()
+    clean = [" ".join(r.choice(words) for _ in range(5)) for _ in range(600)]
+    ways = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp437"), ("cp1252", "cp437"), ("cp1250", "cp1252"), ("cp1251", "latin-1"), ("utf-16-le", "utf-16-be")]
+    cases = {}
+    for i, t in enumerate(clean[:200]):
+        true, wrong = ways[i % len(ways)]
+        try:
+            g = t.encode(true).decode(wrong)
+        except UnicodeError:
+            continue
+        if g != t and g not in clean:
+            cases[g] = t
+    df = spark.createDataFrame(list(enumerate(clean + list(cases))), "rec_id bigint, value string")
+    got = {x.value: x.restored for x in garbled(df).collect()}
+    assert len(cases) > 80
+    assert sum(g in got for g in cases) >= 0.98 * len(cases)
+    assert sum(got.get(g) == t for g, t in cases.items()) >= 0.95 * len(cases)
+    assert not set(clean) & set(got)
 
 
 # Credentials
