@@ -4,7 +4,7 @@ Texts become sequences of function-word classes (determiner, preposition, conjun
 (lower-case, capitalised, file name, link, punctuation and so on). A content word far from any function word has a class of its own. A 4-gram
 model is counted over the prose of the whole corpus: the sentences with a usual share of function words. Windows of a page whose
 perplexity is abnormally high (words, links and tags that no sentence holds together) or abnormally low (the same few words over and over) are
-stuffed; a page is spam if they hold more than half of its text. Lines of code, assembly, logs, symbol tables and lists of described functions are
+stuffed, measured against the perplexity of the prose itself; without any function word a window is so from a lower bound on, as product lines have it; a page is spam if they hold more than half of its text. Lines of code, assembly, logs, symbol tables and lists of described functions are
 known by their identifiers, registers and time stamps and are left out of the sequence, but count as text of the page.
 """
 
@@ -47,9 +47,10 @@ FAR_CLASS = np.arange(K)
 for _a, _b in (("LW", "LWF"), ("CW", "CWF"), ("UW", "CWF"), ("FILE", "FILEF"), ("SLUG", "SLUGF")):
     FAR_CLASS[CLASS[_a]] = CLASS[_b]
 
-#: Tokens on each side of a scored one; tokens without a function word after which content counts as far; bits above which a window is stuffed; and
-#: the part of the prose's own mean bits below which it is.
-RADIUS, FAR, HIGH_BITS, LOW_PART = 10, 8, 3.5, 0.25
+#: Tokens on each side of a scored one; tokens without a function word after which content counts as far.
+RADIUS, FAR = 10, 8
+#: Times the prose's own mean bits above which a window is stuffed, above which one without any function word is, and below which any is.
+HIGH_PART, BARE_PART, LOW_PART = 2.6, 1.75, 0.25
 #: A line is technical if one in so many of its tokens is and either one in so many of its words or function words are as frequent as in prose (one in
 #: so many words), so that a name or two don't hide a line of keywords; a sentence is prose for training from this share and number of function words.
 TECHNICAL_ONE_IN, TECHNICAL_WORDS, FUNCTION_ONE_IN, PROSE_SHARE, PROSE_WORDS = 16, 4, 8, 0.15, 2
@@ -206,7 +207,8 @@ def spam_scores(docs: DataFrame, model: tuple[np.ndarray, float] | None = None)
             mean = np.bincount(s.doc, weights=b, minlength=n) / np.maximum(count, 1)
             b = np.where(has, b, mean[s.doc])  # the first three tokens of a text have no 4-gram
             m = s.mean(b, RADIUS)
-            bad = ((m > HIGH_BITS) | (m < LOW_PART * usual)) & (count[s.doc] > 0)
+            bare = s.mean(IS_FUNCTION[s.c].astype(float), RADIUS) == 0
+            bad = ((m > HIGH_PART * usual) | bare & (m > BARE_PART * usual) | (m < LOW_PART * usual)) & (count[s.doc] > 0)
             share = np.bincount(s.doc, weights=s.size * bad, minlength=n) / np.maximum(s.total, 1)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(share), pa.array(mean, mask=count == 0)], names=["doc_id", "stuffed", "perplexity"])
 

@@ -368,3 +368,22 @@ def test_links_of_any_spelling_and_keywords_with_a_name_are_stuffed(spark):
     }
     df = spark.createDataFrame([(i, t) for i, t in docs.items()], "doc_id bigint, text string")
     assert {r.doc_id for r in spam_scores(df).collect() if r.stuffed > 0.5} == {100, 101, 102, 103}
+
+
+def test_product_lines_in_six_languages_are_stuffed_and_prose_is_not(spark):
+    rnd = random.Random(8)
+    promo = {"en": "cheap fix serial license repair", "de": "beheben kaufen treiber fehler schnell", "fr": "télécharger gratuit pilote erreur clé", "es": "comprar rápido controlador barato clave", "pt": "baixar grátis chave erro atualizar", "ru": "скачать ключ драйвер ошибка бесплатно"}
+    prose = {
+        "en": "Nothing in {n} refers to this table, so it may be dead text.", "de": "Nach der Änderung ist der Wert um {k} größer als vorher und {n} lädt die Tabelle.", "fr": "On ne sait pas pourquoi {n} charge cette table sans la vérifier.",
+        "es": "A esta rama solo se llega cuando {n} termina con un error.", "pt": "Só se chega a este ramo quando {n} termina com o valor {k}.", "ru": "Контрольная сумма покрывает только первые {k} байт, а {n} не очищается перед вторым вызовом.",
+    }
+    name = lambda: rnd.choice("Tor Gri Mar Sen Ulm".split()) + rnd.choice("kel mar dor zen".split())
+    text = lambda lang, n: " ".join(prose[lang].format(n=name(), k=rnd.randint(2, 3000)) for _ in range(n))
+    item = lambda lang: f"{name()} {rnd.choice(promo[lang].split())} {rnd.randint(1, 12)}.{rnd.randint(0, 9)} | SKU {rnd.randint(10, 99)}-{rnd.randint(100, 999)} | {rnd.choice(promo[lang].split())} | {rnd.randint(9, 99)}.{rnd.randint(10, 99)}"
+    docs, spam = {}, set()
+    for j, lang in enumerate(prose):
+        docs |= {100 * j + i: text(lang, 1 + i % 6) for i in range(40)}
+        docs |= {100 * j + 50: "\n".join(item(lang) for _ in range(20)), 100 * j + 51: text(lang, 2) + "\n" + "\n".join(item(lang) for _ in range(20)), 100 * j + 52: text(lang, 12) + "\n" + "\n".join(item(lang) for _ in range(3))}
+        spam |= {100 * j + 50, 100 * j + 51}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    assert {r.doc_id for r in spam_scores(df).collect() if r.stuffed > 0.5} == spam
