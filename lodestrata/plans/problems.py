@@ -30,26 +30,28 @@ def _pair(dll: Column, name: Column) -> Column:
 
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orphans of the three referring fields, with the reference's time ``t``. Misses of ``imports.name`` count only where the dll itself was valid."""
+    """Orphans of the three referring fields, with the reference's time ``t``; ``tie`` is a hash of the dll, which both references of an import share.
+
+    Rows that were delivered twice are not taken out before the shuffle: the few that miss are made distinct in ``_settle``.
+    """
     imports, exports = table(spark, sf_dir, "imports"), table(spark, sf_dir, "exports")
-    imports = imports.select("import_id", clean_dll(F.col("dll")).alias("dll"), clean_symbol(F.col("name")).alias("name"), F.col("seen_at").alias("t")).where("dll is not null").distinct()
-    refs = imports.select(F.expr("stack(2, 'imports.dll', dll, 'imports.name', concat(dll, chr(0), name)) as (ref_field, key)"), F.col("import_id").alias("rec_id"), "t")
-    files = table(spark, sf_dir, "function_rows").select(F.lit("function_rows.source_file").alias("ref_field"), F.col("function_row_id").alias("rec_id"), clean_path(F.col("source_file")).alias("key"), F.col("exported_at").alias("t"))
+    imports = imports.select("import_id", clean_dll(F.col("dll")).alias("dll"), clean_symbol(F.col("name")).alias("name"), F.col("seen_at").alias("t")).where("dll is not null")
+    refs = imports.select(F.expr("stack(2, 'imports.dll', dll, 'imports.name', concat(dll, chr(0), name)) as (ref_field, key)"), F.col("import_id").alias("rec_id"), "t", F.xxhash64("dll").alias("tie"))
+    files = table(spark, sf_dir, "function_rows").select(F.lit("function_rows.source_file").alias("ref_field"), F.col("function_row_id").alias("rec_id"), clean_path(F.col("source_file")).alias("key"), F.col("exported_at").alias("t"), F.lit(0).cast("bigint").alias("tie"))
     exports = exports.select(clean_dll(F.col("dll")).alias("dll"), clean_symbol(F.col("name")).alias("name"), F.col("added_at").alias("valid_from"), F.col("removed_at").alias("valid_to"))
     parents = (
         exports.select(F.lit("imports.dll").alias("ref_field"), F.col("dll").alias("key"), "valid_from", "valid_to")
         .unionByName(exports.select(F.lit("imports.name").alias("ref_field"), _pair(F.col("dll"), F.col("name")).alias("key"), "valid_from", "valid_to"))
         .unionByName(table(spark, sf_dir, "source_files").select(F.lit("function_rows.source_file").alias("ref_field"), clean_path(F.col("path")).alias("key"), F.col("first_seen").alias("valid_from"), F.col("deleted_at").alias("valid_to")))
     )
-    return orphan_references(refs.unionByName(files.select(*refs.columns)), parents)
+    return orphan_references(refs.unionByName(files.select(*refs.columns)), parents, fields=["imports.dll", "imports.name", "function_rows.source_file"])
 
 
 def _settle(found: DataFrame) -> DataFrame:
     """Drop misses of a name whose dll is itself missed by the same import at the same time, in one aggregation over the misses only."""
     rank = F.when(F.col("ref_field") == "imports.name", 1).otherwise(0)
-    group = F.when(F.col("ref_field") == "function_rows.source_file", F.lit("f")).otherwise(F.lit("i"))
-    dll = F.substring_index("key", "\x00", 1)
-    ranked = found.groupBy(group.alias("g"), "rec_id", "t", dll.alias("dll")).agg(F.min(rank).alias("first"), F.collect_set(F.struct(rank.alias("r"), "ref_field", "reason")).alias("all"))
+    group = F.col("ref_field") == "function_rows.source_file"
+    ranked = found.groupBy(group.alias("g"), "rec_id", "t", "tie").agg(F.min(rank).alias("first"), F.collect_set(F.struct(rank.alias("r"), "ref_field", "reason")).alias("all"))
     kept = ranked.select("rec_id", "t", F.explode(F.filter("all", lambda x: x["r"] == F.col("first"))).alias("b"))
     return kept.select("b.ref_field", "rec_id", "b.reason", F.substring(F.col("t").cast("string"), 1, 7).alias("period")).distinct()
 
