@@ -49,6 +49,8 @@ for _a, _b in (("LW", "LWF"), ("CW", "CWF"), ("UW", "CWF"), ("FILE", "FILEF"), (
 
 #: Tokens on each side of a scored one; tokens without a function word after which content counts as far.
 RADIUS, FAR = 10, 8
+#: Occurrences that the lower order of the model counts for: so many, or this share of all tokens of prose.
+LEAST_WEIGHT, PRIOR_SHARE = 5, 1e-4
 #: Times the prose's own mean bits above which a window is stuffed, above which one without any function word is, and below which any is.
 HIGH_PART, BARE_PART, LOW_PART = 2.6, 1.75, 0.25
 #: A line is technical if one in so many of its tokens is and either one in so many of its words or function words are as frequent as in prose (one in
@@ -151,14 +153,19 @@ class Sequence:
 
 
 def bits_table(counts: np.ndarray) -> np.ndarray:
-    """Bits of each 4-gram's last class, each order smoothed with the one below."""
+    """Bits of each 4-gram's last class, each order smoothed with the one below.
+
+    The weight of the lower order is a share of the corpus: contexts that stand in a few pages only (a spam line that runs on into prose) say little,
+    however many such pages a larger corpus holds.
+    """
     g4 = counts.reshape(K, K, K, K)
     g3 = g4.sum(0)
     g2 = g3.sum(0)
     g1 = g2.sum(0)
     p = (g1 + 1) / (g1.sum() + K)
+    weight = max(LEAST_WEIGHT, PRIOR_SHARE * counts.sum())
     for g in (g2, g3, g4):
-        p = (g + 5 * p) / (g.sum(-1, keepdims=True) + 5)
+        p = (g + weight * p) / (g.sum(-1, keepdims=True) + weight)
     return np.minimum(-np.log2(p), 12).astype(np.float32).ravel()
 
 
