@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import cut
+
 #: A key counts as heavy above this fraction of all rows; so there are at most HEAVY_PARTS heavy keys whatever the data, which bounds their broadcast.
 HEAVY_PARTS = 256
 SALTS = 64
@@ -31,6 +33,15 @@ def with_salt(df: DataFrame, keys: list[str], spread: Column, parts: int = HEAVY
     return df.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_heavy", *[f"_h_{k}" for k in keys])
 
 
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], parts: int = HEAVY_PARTS) -> DataFrame:
+    """Inner join of ``df`` with ``table``, which has one row per key: heavy keys of ``df`` meet a broadcast of their rows of ``table`` (at most
+    ``parts``), all others are shuffled. Null keys match nothing; columns beyond the keys must differ."""
+    heavy = heavy_keys(df, keys, parts).drop("_n")
+    hot = F.broadcast(cut(table.join(F.broadcast(heavy), keys, "left_semi")))
+    light = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table, keys)
+    return light.unionByName(df.join(hot, keys).select(*light.columns))
+
+
 def salted_count_distinct(df: DataFrame, keys: list[str], value: str, out: str, parts: int = HEAVY_PARTS, salts: int = SALTS) -> DataFrame:
     """Number of distinct non-null ``value`` per key.
 
@@ -49,6 +60,6 @@ def salted_aggregate(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str,
     """
     merge = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
     make = {"count": lambda c: F.count(F.lit(1) if c == "*" else F.col(c)), "sum": F.sum, "min": F.min, "max": F.max}
-    salted = with_salt(df, keys, F.rand(0), parts, salts) if not df.columns else with_salt(df, keys, F.struct(*[F.col(c) for c in df.columns]), parts, salts)
+    salted = with_salt(df, keys, F.struct(*[F.col(c) for c in df.columns]), parts, salts)
     part = salted.groupBy(*keys, "_salt").agg(*[make[f](c).alias(o) for o, (f, c) in aggs.items()])
     return part.groupBy(*keys).agg(*[merge[f](o).alias(o) for o, (f, _) in aggs.items()])
