@@ -17,13 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.batches import chunks, mix
+from lodestrata.operators.skew import lookup
+from lodestrata.session import cut, shuffle_partitions
 
 _WORD = re.compile("[A-Za-z0-9_]+")
 SHINGLE, LEAST_WORDS = 3, 20
-#: 64 bands of 4 values: at similarity 0.6 a pair is nominated with probability 1 - (1 - 0.6^4)^64 = 0.99986, at 0.65 0.999996.
-BANDS, ROWS = 64, 4
-#: Members of a bucket compared by one task with one block of the others.
-BLOCK = 2_000
+#: 36 bands of 3 values: at similarity 0.6 a pair is nominated with probability 1 - (1 - 0.6^3)^36 = 0.99984, at 0.65 0.99999.
+BANDS, ROWS = 36, 3
+#: Members of a hot bucket compared by one task with one block of the others; a bucket is hot from one in so many nodes on; nodes looked at to tell.
+BLOCK, HOT_PARTS, SAMPLED = 2_000, 512, 16
+#: Pairs that a task puts out at once.
+CHUNK = 100_000
 
 
 def shingles(text: str, size: int = SHINGLE, least: int = LEAST_WORDS) -> np.ndarray | None:
@@ -87,91 +91,151 @@ class MinMax:
         return h
 
 
-_SKETCH = "id bigint, field string, n int, class string, sh array<bigint>, bands array<bigint>"
+def packed(values: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes, six bytes each: what is kept of a shingle set to compare it (two shingles of one pair of sets of 300 are
+    mixed up with a chance of 10^-9)."""
+    return np.unique(values >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _class(shingle_set: np.ndarray) -> str:
-    return hashlib.blake2b(shingle_set.tobytes(), digest_size=16).hexdigest()
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
-def _signed(a: np.ndarray) -> np.ndarray:
-    return a.view(np.int64)
-
-
-def sketches(df: DataFrame, id_col: str, fields: list[str], bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, least: int = LEAST_WORDS, whole: bool = True) -> DataFrame:
-    """One row per text with enough words: its shingle set, the set's hash (``class``: equal sets are copies) and its band keys; of these the class only
-    unless ``whole``."""
+def sketches(df: DataFrame, id_col: str, fields: list[str], size: int = SHINGLE, least: int = LEAST_WORDS, seed: int = 0) -> DataFrame:
+    """id, field, node, class, n, sh of each text with enough words: its packed shingle set of n elements, the 128-bit hash of the field and the set
+    (``class``: equal sets are copies) and the first half of it (``node``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mm = MinMax(bands, rows)
         for b in batches:
             for field in fields:
                 narrow = pa.RecordBatch.from_arrays([b.column("id"), b.column(field)], names=["id", "text"])
                 for part, texts in chunks(iter([narrow]), limit=500_000):
                     got = [(i, s) for i, t in zip(part.column("id").to_pylist(), texts, strict=True) if t and (s := shingles(t, size, least)) is not None]
-                    if got:
-                        sets = [s for _, s in got]
-                        if not whole:
-                            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([field] * len(got), pa.string()), pa.array([_class(s) for s in sets], pa.string())], names=["id", "field", "class"])
-                            continue
-                        keys = [mm.bands_of(s) for s in sets]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([i for i, _ in got], pa.int64()),
-                                pa.array([field] * len(got), pa.string()),
-                                pa.array([len(s) for s in sets], pa.int32()),
-                                pa.array([_class(s) for s in sets], pa.string()),
-                                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in sets])], pa.int32()), pa.array(_signed(np.concatenate(sets)))),
-                                pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(_signed(np.concatenate(keys)))),
-                            ],
-                            names=["id", "field", "n", "class", "sh", "bands"],
-                        )
-
-    return df.select(F.col(id_col).cast("bigint").alias("id"), *fields).where("id is not null").mapInArrow(run, _SKETCH if whole else "id bigint, field string, class string")
-
-
-def nominated(reps: DataFrame, ratio: float, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs (field, a, b; a < b) of representatives that share a band and whose sizes allow the similarity ``ratio``.
-
-    Buckets of one member are dropped, those of two give their pair at once. A bucket of more than ``block`` members is split: each member meets the others block by block,
-    so that no task holds a whole bucket.
+                    if not got:
+                        continue
+                    classes = [hashlib.blake2b(s.tobytes(), digest_size=16, key=f"{seed} {field}".encode()[:64]).digest() for _, s in got]
+                    sets = [packed(s) for _, s in got]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i for i, _ in got], pa.int64()), pa.array([field] * len(got), pa.string()), pa.array(np.frombuffer(b"".join(c[:8] for c in classes), np.int64)), pa.array(classes, pa.binary()), pa.array([len(x) // 6 for x in sets], pa.int32()), pa.array(sets, pa.binary())],
+                        names=["id", "field", "node", "class", "n", "sh"],
+                    )
+
+    return df.select(F.col(id_col).cast("bigint").alias("id"), *fields).where("id is not null").mapInArrow(run, "id bigint, field string, node bigint, class binary, n int, sh binary")
+
+
+def banded(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """key, node: the band keys of every node. Copies have the same bands, so a task puts out a node's once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mm = MinMax(bands, rows)
+        met: set[int] = set()
+        for b in batches:
+            new = []
+            for k, (field, node) in enumerate(zip(b.column("field").to_pylist(), b.column("node").to_pylist(), strict=True)):
+                if node not in met:
+                    if len(met) > 2_000_000:
+                        met.clear()
+                    met.add(node)
+                    new.append((node, mm.bands_of(unpacked(b.column("sh")[k].as_py())) ^ np.uint64(_word(field))))  # texts of different fields never meet
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for _, x in new]).view(np.int64)), pa.array(np.repeat(np.array([x for x, _ in new], np.int64), bands))], names=["key", "node"])
+
+    return sets.select("field", "node", "sh").mapInArrow(run, "key bigint, node bigint")
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a < b) of different nodes inside each key of a stream sorted by key and node; at most CHUNK pairs at once."""
+    rest_k, rest_n = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def pairs(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(k):
+            return
+        new = np.r_[True, (k[1:] != k[:-1]) | (n[1:] != n[:-1])]
+        k, n = k[new], n[new]
+        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        size = np.diff(np.r_[start, len(k)])
+        end = np.repeat(start + size, size)
+        for step in range(1, int(size.max())):  # each member with the one ``step`` places behind it
+            at = np.flatnonzero(np.arange(len(k)) + step < end)
+            for i in range(0, len(at), CHUNK):
+                x = at[i : i + CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array(n[x]), pa.array(n[x + step])], names=["a", "b"])
+
+    for b in batches:
+        k, n = np.r_[rest_k, b.column("key").to_numpy()], np.r_[rest_n, b.column("node").to_numpy()]
+        if not len(k):
+            continue
+        cut_at = int(np.searchsorted(k, k[-1], "left")) if k[0] <= k[-1] else 0
+        yield from pairs(k[:cut_at], n[:cut_at])
+        rest_k, rest_n = k[cut_at:], n[cut_at:]
+    yield from pairs(rest_k, rest_n)
+
+
+def nominated(keyed: DataFrame, block: int = BLOCK, nodes: int | None = None) -> DataFrame:
+    """Distinct pairs (a, b; a < b) of nodes that share a key. ``keyed``: key, node; ``nodes``: their number.
+
+    One shuffle by key; each partition is a stream sorted by key that gives the pairs of its buckets. A key on more than ``block`` nodes and more than
+    1 / HOT_PARTS of them is hot: it goes another way, where each member meets the others block by block in tasks of their own, so no task reads a
+    whole hot bucket. Hot keys are told from one node in SAMPLED, chosen by hash; this only decides which way a bucket takes, every pair comes out
+    either way. There can't be more than bands x HOT_PARTS hot keys, which bounds their broadcast.
     """
-    keyed = reps.select("field", "id", "n", F.explode("bands").alias("key"))
-    member = F.struct("id", "n")
-    buckets = keyed.groupBy("field", "key").agg(F.count(F.lit(1)).alias("m"), F.min(member).alias("lo"), F.max(member).alias("hi")).where("m > 1")
-    # Most buckets have two members: their pair comes out of the aggregation, no join is needed.
-    two = buckets.where("m = 2").select("field", F.col("lo.id").alias("a"), F.col("lo.n").alias("na"), F.col("hi.id").alias("b"), F.col("hi.n").alias("nb"))
-    more = buckets.where("m > 2").select("field", "key", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    shared = keyed.join(more, ["field", "key"])
-    left = shared.select("field", "key", F.col("id").alias("a"), F.col("n").alias("na"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("blk"))
-    right = shared.select("field", "key", F.col("id").alias("b"), F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(ratio - 1e-9))
-    return two.where(fits).select("field", "a", "b").unionByName(left.join(right, ["field", "key", "blk"]).where(fits).select("field", "a", "b")).distinct()
-
-
-def similar_classes(df: DataFrame, id_col: str, fields: list[str], numerator: int = 3, denominator: int = 5, **kw) -> tuple[DataFrame, DataFrame]:
+    if nodes is None:
+        nodes = keyed.select("node").distinct().count()
+    most = max(block, nodes // HOT_PARTS)
+    hot = cut(keyed.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).distinct().groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("m")).where(F.col("m") > most).select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
+    light = keyed
+    heavy = None
+    if not hot.isEmpty():
+        light = keyed.join(F.broadcast(hot), "key", "left_anti")
+        shared = keyed.join(F.broadcast(hot), "key").distinct()
+        left = shared.select("key", F.col("node").alias("a"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("blk"))
+        right = shared.select("key", F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
+        heavy = left.join(right, ["key", "blk"]).where("a < b").select("a", "b")
+    out = light.repartition(shuffle_partitions(keyed.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(_bucket_pairs, "a bigint, b bigint")
+    return (out if heavy is None else out.unionByName(heavy)).distinct()
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sa, sb = b.column("sa"), b.column("sb")
+        shared = [len(np.intersect1d(unpacked(sa[k].as_py()), unpacked(sb[k].as_py()), assume_unique=True)) for k in range(b.num_rows)]
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("na"), b.column("nb"), pa.array(shared, pa.int32())], names=["a", "b", "na", "nb", "shared"])
+
+
+def similar_classes(df: DataFrame, id_col: str, fields: list[str], numerator: int = 3, denominator: int = 5, size: int = SHINGLE, least: int = LEAST_WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(membership, pairs): each text's representative, and pairs of representatives with similarity >= numerator/denominator.
 
     ``membership``: field, id, rep (the smallest id with the same shingle set). ``pairs``: field, a, b, shared, united with a < b. A text that is null,
     empty or has too few words takes part in neither; copies collapse to their representative before any pair is made; rows that repeat an id
     count once; other columns of ``df`` are ignored; an empty table gives two empty tables.
     """
-    all_ = sketches(df, id_col, fields, **kw)
-    reps = all_.groupBy("field", "class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sh").alias("sh"), F.first("bands").alias("bands"))
-    from lodestrata.session import cut
-
-    reps = cut(reps)
-    members = sketches(df, id_col, fields, whole=False, **{k: v for k, v in kw.items() if k in ("size", "least")}).distinct().join(reps.select("field", "class", F.col("id").alias("rep")), ["field", "class"]).select("field", "id", "rep")
-    pairs = nominated(reps.select("field", "id", "n", "bands"), numerator / denominator)
-    sets = reps.select("field", "id", "n", "sh")
-    a, b = sets.select("field", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sh").alias("sa")), sets.select("field", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sh").alias("sb"))
-    both = pairs.join(a, ["field", "a"]).join(b, ["field", "b"]).select("field", "a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), "na", "nb")
-    return members, both.withColumn("united", F.col("na") + F.col("nb") - F.col("shared")).where(F.col("shared") * denominator >= F.col("united") * numerator).select("field", "a", "b", "shared", "united")
-
-
-def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of ids (a < b): of different representatives, and of copies of one."""
+    for seed in range(8):
+        all_ = cut(sketches(df, id_col, fields, size, least, seed))
+        reps = cut(all_.groupBy("node").agg(F.min("id").alias("rep"), F.first("field").alias("field"), F.min("class").alias("lo"), F.max("class").alias("hi")))
+        if reps.where("lo <> hi").isEmpty():  # no two classes share their first half
+            break
+    else:
+        raise RuntimeError("hashes of classes keep meeting")
+    members = lookup(all_.select("field", "id", "node"), reps.select("node", "rep"), ["node"]).select("field", "id", "rep").distinct()
+    pairs = cut(nominated(banded(all_, bands, rows), block, reps.count()))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = all_.select("node", "n", "sh").join(asked, "node", "left_semi").dropDuplicates(["node"]).join(reps.select("node", "rep", "field"), "node")
+    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sh").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator)
+    near = both.mapInArrow(_compare, "a bigint, b bigint, na int, nb int, shared int").withColumn("united", F.col("na") + F.col("nb") - F.col("shared")).where(F.col("shared") * denominator >= F.col("united") * numerator)
+    ra, rb = reps.select(F.col("node").alias("a"), F.col("rep").alias("x"), "field"), reps.select(F.col("node").alias("b"), F.col("rep").alias("y"))
+    return members, near.join(ra, "a").join(rb, "b").select("field", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "united")
+
+
+def expand(members: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs of ids (a < b): of different representatives, and of copies of one. Copies of one text meet in blocks of ``block`` of them."""
     ma, mb = members.select("field", F.col("id").alias("x"), F.col("rep").alias("a")), members.select("field", F.col("id").alias("y"), F.col("rep").alias("b"))
     far = pairs.select("field", "a", "b").join(ma, ["field", "a"]).join(mb, ["field", "b"]).select("x", "y")
-    near = ma.join(mb.withColumnRenamed("b", "a"), ["field", "a"]).where("x < y").select("x", "y")
+    many = members.groupBy("field", "rep").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("field", "rep", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    copies = lookup(members, many, ["field", "rep"])
+    left = copies.select("field", "rep", F.col("id").alias("x"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("blk"))
+    right = copies.select("field", "rep", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
+    near = left.join(right, ["field", "rep", "blk"]).where("x < y").select("x", "y")
     return far.unionByName(near).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
