@@ -13,7 +13,7 @@ import base64
 import binascii
 import math
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.batches import chunks
+from lodestrata.session import cut
 
 #: Words on at least this share of all word counts form the dictionary, so it can't hold more than 1 / SHARE words.
 DICTIONARY_SHARE = 5e-6
@@ -30,7 +31,7 @@ LEAST_LENGTH = 5
 
 #: Names of secrets, as sequences of words (fixed values, several languages).
 STRONG = {
-    *"pass password passwd passwort passphrase passcode kennwort secret pwd pw senha contrasena contraseña clave motdepasse пароль credential credentials".split(),
+    *"pass password passwd passwort passphrase passcode kennwort secret pwd pw senha contrasena contraseña clave motdepasse mdp пароль haslo hasło heslo parola jelszo jelszó salasana wachtwoord lösenord sifre şifre パスワード 密码 密碼 口令 비밀번호 credential credentials".split(),
     "pass phrase", "pass word", "secret word", "api key", "apikey", "access key", "secret key", "signing key", "private key", "storage key", "account key", "encryption key", "master key", "shared key", "license key", "auth token", "access token", "api token", "bearer token", "refresh token", "client secret", "mot de passe",
 }
 WEAK = {*"token key auth login bearer authorization credentials".split()}
@@ -65,7 +66,10 @@ ELEMENT = re.compile(r"0x[0-9a-fA-F]{1,2}|\d{1,3}|'(?:\\?.)'")
 STORING = re.compile(r"\[(?:0x)?0+\]\s*=|=\s*\{")
 LITERAL = re.compile(r'"([^"\n]*)"')
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{12,}={0,2}(?![A-Za-z0-9+/=])")
-_PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zà-ÿа-я]+|[a-zà-ÿа-я]+")
+_PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+")
+#: Formats of hashes: hexadecimal of the usual lengths, and the prefixed forms of stored password hashes.
+HASH_FORMAT = re.compile(r"(?i)[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}")
+STORED_HASH = re.compile(r"\$(?:2[abxy]?|1|5|6|7|y|apr1|argon2\w*|scrypt|pbkdf2[\w-]*)\$.+|\{S?SHA\d*\}.+|(?i:(?:md5|sha-?\d+)[:-][0-9a-z+/=]{16,})")
 #: Runs of letters beside a digit are parts of ids and secrets.
 _WORDS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2,}+(?!\d)")
 _LONGEST_WORD = 24
@@ -82,6 +86,19 @@ class Segmenter:
         self.unknown = max([12.0, *self.cost.values()]) / 2 + 4
         self.memo: dict[str, tuple[tuple[str, ...], int]] = {}
 
+    def with_words(self, extra: dict[str, int]) -> Segmenter:
+        """A segmenter that knows a few words more; the dictionary itself isn't copied."""
+        out = object.__new__(Segmenter)
+        total = math.exp(max(self.unknown * 2 - 8, 1))
+        out.cost = ChainMap({w: min(self.unknown * 2 - 8, math.log(total) - math.log(n + 1)) for w, n in extra.items() if 3 <= len(w) <= self.longest}, self.cost)
+        out.longest, out.unknown, out.memo = self.longest, self.unknown, {}
+        return out
+
+    def unexplained(self, value: str) -> set[str]:
+        """Runs of letters in a value, lower-cased, that hold what no word explains."""
+        runs = {x.lower() for run in re.findall(r"[^\W\d_]+", value) for x in (run, *_PIECE.findall(run))}
+        return {r for r in runs if len(r) >= 3 and self.split(r)[1]}
+
     def split(self, run: str) -> tuple[tuple[str, ...], int]:
         """(words, unexplained characters) of a run of letters, lower-cased."""
         got = self.memo.get(run)
@@ -132,12 +149,12 @@ class Segmenter:
 class View:
     """Text with escapes and split literals undone, and where each character came from."""
 
-    _CODE = re.compile(r'\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})|\\([0-7]{3})|\\(["\'\\/ntr0])|(?<!\\)"\s+"(?=[^,;)]*")')
+    _CODE = re.compile(r'\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})|\\([0-7]{3})|\\(["\'\\/ntr0])|(?<!\\)"\s*(?:\+|\.\.?|&)\s*"|(?<!\\)\'\s*(?:\+|\.\.?|&)\s*\'|(?<!\\)"\s+"(?=[^,;)]*")')
     _SIMPLE = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
 
     def __init__(self, text: str, path_like: bool = False):
         parts, spans, last = [], [], 0
-        if "\\" in text or '"' in text:
+        if "\\" in text or '"' in text or "'" in text:
             for m in self._CODE.finditer(text):
                 if path_like and m[4] and m[4] not in "\"'":
                     continue
@@ -206,12 +223,15 @@ class Finder:
             return not rest or not self.words.residual(rest) or rest[0] in "-_ ." and all(c.isalpha() or c in "-_ .:!?" for c in rest)
         return False
 
-    def value(self, v: str, strength: int, blanks: bool = False) -> bool:
-        """Whether a value beside a name of this strength is a secret; ``blanks``: it is quoted and may hold blanks."""
+    def value(self, v: str, strength: int, blanks: bool = False, name: str = "") -> bool:
+        """Whether a value beside a name of this strength is a secret; ``blanks``: it is quoted and may hold blanks. Beside a mere ``..._key`` what has
+        the format of a hash is one; tokens often have it as well."""
         if len(v) < LEAST_LENGTH or not v.isprintable() or self.placeholder(v) or REFERENCE.fullmatch(v) or re.search(r"%[-\d.]*(?:l*[sdxu])|\$\{|\{\{|\*{3}|[xX]{4}|://", v) or re.search(r"^\s|\s$|[:?.…]$" if blanks and strength == 2 and " " in v else r"\s", v):
             return False
         if v.isdigit() and len(v) < 12 and strength < 2 or re.fullmatch(r"0x[0-9a-fA-F]+", v):
             return False
+        if STORED_HASH.fullmatch(v) or strength < 2 and name.lower().endswith("key") and HASH_FORMAT.fullmatch(v) or any(c >= "\u2e80" for c in v):
+            return False  # a hash; or text of a script that isn't typed as a password
         rest = self.words.residual(v)
         if strength == 2:
             return rest >= STRONG_RESIDUAL
@@ -273,12 +293,12 @@ class Finder:
             s = self.name(m["key"].rsplit(".", 1)[-1])
             if s:
                 v = m[g].rstrip(",)]}") if g == "plain" else m[g]
-                if not re.match(r"(?i)(?:bearer|basic|token)(?:\s|$)", v) and not (g == "plain" and PLACEHOLDER.fullmatch(m[g].rstrip(",)"))) and self.value(v, s, g == "quoted"):
+                if not re.match(r"(?i)(?:bearer|basic|token)(?:\s|$)", v) and not (g == "plain" and PLACEHOLDER.fullmatch(m[g].rstrip(",)"))) and self.value(v, s, g == "quoted", m["key"]):
                     out.append((at, at + len(v)))
                     at += len(v)
         for pattern in (XML, FLAG):
             for m in pattern.finditer(t):
-                if (s := self.name(m["key"])) and self.value(m["val"], s):
+                if (s := self.name(m["key"])) and self.value(m["val"], s, name=m["key"]):
                     out.append(m.span("val"))
         for m in HEADER.finditer(t):
             near = re.search(r"(?i)authorization|header|auth", t[max(0, m.start() - 40) : m.start()])
@@ -352,8 +372,8 @@ class Finder:
         return "".join(out) + text[last:]
 
 
-def dictionary(texts: DataFrame, share: float = DICTIONARY_SHARE) -> dict[str, int]:
-    """Words of ``text`` with at least ``share`` of all word counts over the whole corpus (at most 1 / share words reach the driver).
+def word_counts(texts: DataFrame) -> DataFrame:
+    """w, n: words of ``text`` in at least three distinct lines of the whole corpus.
 
     A word counts once per distinct line, so that a secret in copies or near copies of a text doesn't become a word. Distinct lines are shuffled.
     """
@@ -375,32 +395,71 @@ def dictionary(texts: DataFrame, share: float = DICTIONARY_SHARE) -> dict[str, i
             yield flush()
 
     lines = texts.select(F.explode(F.split("text", "\n")).alias("line")).select(F.trim("line").alias("text")).where(F.col("text").rlike("[A-Za-z]{3}")).distinct()
-    words = lines.mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    total = words.agg(F.sum("n").alias("total"))
-    kept = words.join(F.broadcast(total), F.col("n") >= F.greatest(F.col("total") * share, F.lit(3)))
-    return {r.w: r.n for r in kept.toLocalIterator()}
+    return lines.mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where("n >= 3")
+
+
+def _extra_words(found: DataFrame, tail: DataFrame) -> DataFrame:
+    """at, words: rarer words inside the unexplained runs of each finding. Parts of the runs are joined with the words, of which no part is broadcast."""
+    runs = found.select(F.explode("runs").alias("run")).distinct()
+    length = F.length("run")
+    part = F.flatten(F.transform(F.sequence(F.lit(3), F.least(length, F.lit(_LONGEST_WORD))), lambda n: F.transform(F.sequence(F.lit(1), length - n + 1), lambda i: F.substring(F.col("run"), i, n))))
+    known = runs.select("run", F.explode(F.array_distinct(part)).alias("w")).join(tail, "w").groupBy("run").agg(F.collect_list(F.struct("w", "n")).alias("ws"))
+    return found.select("at", F.explode("runs").alias("run")).distinct().join(known, "run").groupBy("at").agg(F.array_distinct(F.flatten(F.collect_list("ws"))).alias("words"))
+
 
+_FOUND = "rec_table string, rec_id bigint, secrets int, text string"
 
-def secrets(texts: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
+
+def secrets(texts: DataFrame, counts: dict[str, int] | None = None, share: float = DICTIONARY_SHARE) -> DataFrame:
     """rec_table, rec_id, secrets (their number) and masked text of each text that holds a secret.
 
     ``texts`` has rec_table, rec_id and text. Null and empty texts hold none; repeated rows give repeated rows; other columns are ignored; an empty
-    table gives none. Whole texts are searched; texts are read twice (dictionary, search); the dictionary shuffles their
-    distinct lines.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast(counts if counts is not None else dictionary(texts))
+    table gives none. Whole texts are searched; texts are read twice (dictionary, search); the dictionary shuffles their distinct lines.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Words on at least ``share`` of all counts are broadcast, 1 / share at most. What they leave unexplained in a finding is joined with all rarer
+    words, and the few texts whose findings hold such words are searched again with them, so no word is left out at any size.
+    """
+    tail = None
+    if counts is None:
+        words = cut(word_counts(texts))
+        least = (words.agg(F.sum("n")).first()[0] or 0) * share
+        counts = {r.w: r.n for r in words.where(F.col("n") >= least).toLocalIterator()}
+        tail = words.where(F.col("n") < least)
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(Segmenter(shared.value))
         for rows, part in chunks(batches):
-            where, n, masked = [], [], []
+            where, n, masked, runs = [], [], [], []
             for i, t in enumerate(part):
                 if t and (got := finder.find(t)):
+                    view, spans = got
                     where.append(i)
-                    n.append(len(set(got[1])))
-                    masked.append(finder.mask(*got))
+                    n.append(len(set(spans)))
+                    masked.append(finder.mask(view, spans))
+                    runs.append(sorted({r for a, b in spans for r in finder.words.unexplained(view.text[a:b])}))
             if where:
                 at = pa.array(where)
-                yield pa.RecordBatch.from_arrays([rows.column("rec_table").take(at), rows.column("rec_id").take(at), pa.array(n, pa.int32()), pa.array(masked, pa.string())], names=["rec_table", "rec_id", "secrets", "text"])
-
-    return texts.select("rec_table", F.col("rec_id").cast("bigint").alias("rec_id"), "text").where("text is not null and text <> ''").mapInArrow(run, "rec_table string, rec_id bigint, secrets int, text string")
+                yield pa.RecordBatch.from_arrays([rows.column("rec_table").take(at), rows.column("rec_id").take(at), pa.array(n, pa.int32()), pa.array(masked, pa.string()), rows.column("text").take(at), pa.array(runs, pa.list_(pa.string()))], names=["rec_table", "rec_id", "secrets", "masked", "text", "runs"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = Segmenter(shared.value)
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                if row["words"]:
+                    finder = Finder(base.with_words({x["w"]: x["n"] for x in row["words"]}))
+                    got = finder.find(row["text"])
+                    if got:
+                        out.append((row["rec_table"], row["rec_id"], len(set(got[1])), finder.mask(*got)))
+                else:
+                    out.append((row["rec_table"], row["rec_id"], row["secrets"], row["masked"]))
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], names=["rec_table", "rec_id", "secrets", "text"])
+
+    found = texts.select("rec_table", F.col("rec_id").cast("bigint").alias("rec_id"), "text").where("text is not null and text <> ''").mapInArrow(search, "rec_table string, rec_id bigint, secrets int, masked string, text string, runs array<string>")
+    if tail is None:
+        return found.select("rec_table", "rec_id", "secrets", F.col("masked").alias("text"))
+    found = cut(found.withColumn("at", F.md5("text")))
+    return found.join(_extra_words(found, tail), "at", "left").mapInArrow(again, _FOUND)

@@ -22,8 +22,9 @@ from lodestrata.session import cut, shuffle_partitions
 
 _WORD = re.compile("[A-Za-z0-9_]+")
 SHINGLE, LEAST_WORDS = 3, 20
-#: 36 bands of 3 values: at similarity 0.6 a pair is nominated with probability 1 - (1 - 0.6^3)^36 = 0.99984, at 0.65 0.99999.
-BANDS, ROWS = 36, 3
+#: 64 bands of 4 values: at similarity 0.6 a pair is nominated with probability 1 - (1 - 0.6^4)^64 = 0.99986, at 0.65 0.999996. Bands of 3 values
+#: would do with 36, but on short functions that share their frame they nominate hundreds of times as many pairs.
+BANDS, ROWS = 64, 4
 #: Members of a hot bucket compared by one task with one block of the others; a bucket is hot from one in so many nodes on; nodes looked at to tell.
 BLOCK, HOT_PARTS, SAMPLED = 2_000, 512, 16
 #: Pairs that a task puts out at once.

@@ -213,6 +213,50 @@ def test_copies_of_a_secret_do_not_become_words(spark):
     assert not any("kelquil" in r.text or "AKIAX" in r.text for r in got)
 
 
+@pytest.mark.parametrize(
+    ("text", "masked"),
+    [
+        ('password = "Xk29" + "!mQz7";', 'password = "****" + "*****";'), ("password = 'Xk29' . '!mQz7';", "password = '****' . '*****';"), ("mdp = Kel5898?q", "mdp = *********"), ("haslo = Kel5898?q", "haslo = *********"),
+        ("パスワード = Kel5898?q", "パスワード = *********"), ('password = "Xk2";', None), ("パスワード: 入力してください", None), ('cache_key = "' + "3f5896e91ea156b85b864892e130fd9f" * 2 + '"', None), ("password = $2y$10$Q7zXw9LmNbVcXzAsDfGhJkLpOiUyTrEwQ", None), ("token: sha256:3f5896e91ea156b85b864892e130fd9f", None),
+    ],
+)
+def test_joined_literals_names_of_other_languages_and_hash_formats(text, masked):
+    got = FINDER.find(text)
+    assert (Finder.mask(*got) if got else None) == masked
+
+
+def test_no_piece_of_a_planted_secret_survives_and_nothing_else_changes():
+    import base64
+
+    rnd = random.Random(9)
+    forms = [
+        ("password = {}", str), ('smtp_password = "{}";', str), ("--password {} --host h", str), ('"client_secret": "{}"', str), ("https://svc:{}@host.example/p", str), ("<add key='db_password' value='{}'/>", str),
+        ('blob = "{}";', lambda s: base64.b64encode(f"login=svc;password={s}".encode()).decode()), ('memcpy(passphrase, "{}", 9);', lambda s: "".join(f"\\x{ord(c):02x}" for c in s)), ('passphrase = "{}";', lambda s: "".join(f"\\{ord(c):03o}" for c in s)), ('api_key = "{}";', lambda s: s[:6] + '" + "' + s[6:]),
+    ]
+    for _ in range(300):
+        secret = "".join(rnd.choice("abcdefghkmnpqrstuvwxyzABCDEFGHKMNPQRSTUVWXYZ") for _ in range(8)) + "".join(rnd.choice("23456789!?_") for _ in range(5))
+        form, write = rnd.choice(forms)
+        before, after = rnd.choice(["", "open the stream\n", "int v1 = 3;\n"]), rnd.choice(["", "\nreturn v1;", "\nread entry"])
+        given = write(secret)
+        text = before + form.format(given) + after
+        got = FINDER.find(text)
+        assert got, text
+        masked = Finder.mask(*got)
+        assert not any(given[i : i + 4] in masked for i in range(len(given) - 3) if '"' not in given[i : i + 4]), (text, masked)
+        at = text.index(given)
+        assert masked[:at] == text[:at] and masked.endswith(text[at + len(given) :])
+
+
+def test_rare_words_explain_as_well_as_frequent_ones(spark):
+    """A dictionary cut to a few words and the join with the others give what the whole dictionary gives."""
+    names = ["quilmar", "torsend", "kelvrad", "bendoro"]
+    lines = [f"the open file {i} is read by the server" for i in range(400)] + [f"use {n} for step {i}" for n in names for i in range(4)]
+    texts = lines + [f"password = {a}-{b}" for a in names for b in names if a < b] + ["password = Kq7zXw!9u"]
+    df = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "rec_table string, rec_id bigint, text string")
+    whole, cut_down = (rows(secrets(df, share=x), "rec_id", "text") for x in (0.0, 0.05))
+    assert whole == cut_down == [(len(texts) - 1, "password = *********")]
+
+
 def test_viterbi_prefers_words():
     s = Segmenter(WORDS | {"webhook": 20})
     assert s.words("webhooksecret") == ["webhook", "secret"]
