@@ -69,6 +69,7 @@ ENCODED = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{12,}={0,2}(?![A-Za-z0-9+
 _PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+")
 #: Formats of hashes: hexadecimal of the usual lengths, and the prefixed forms of stored password hashes.
 HASH_FORMAT = re.compile(r"(?i)[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}")
+HASH_KEY = re.compile(r"(?i)(?:cache|hash|lookup|sort|index|map|dedupe|content|primary|foreign|row|object|partition)[_-]?key$")
 STORED_HASH = re.compile(r"\$(?:2[abxy]?|1|5|6|7|y|apr1|argon2\w*|scrypt|pbkdf2[\w-]*)\$.+|\{S?SHA\d*\}.+|(?i:(?:md5|sha-?\d+)[:-][0-9a-z+/=]{16,})")
 #: Runs of letters beside a digit are parts of ids and secrets.
 _WORDS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2,}+(?!\d)")
@@ -224,13 +225,13 @@ class Finder:
         return False
 
     def value(self, v: str, strength: int, blanks: bool = False, name: str = "") -> bool:
-        """Whether a value beside a name of this strength is a secret; ``blanks``: it is quoted and may hold blanks. Beside a mere ``..._key`` what has
-        the format of a hash is one; tokens often have it as well."""
+        """Whether a value beside a name of this strength is a secret; ``blanks``: it is quoted and may hold blanks. Beside ``cache_key`` and the like what
+        has the format of a hash is one; tokens often have it as well."""
         if len(v) < LEAST_LENGTH or not v.isprintable() or self.placeholder(v) or REFERENCE.fullmatch(v) or re.search(r"%[-\d.]*(?:l*[sdxu])|\$\{|\{\{|\*{3}|[xX]{4}|://", v) or re.search(r"^\s|\s$|[:?.…]$" if blanks and strength == 2 and " " in v else r"\s", v):
             return False
         if v.isdigit() and len(v) < 12 and strength < 2 or re.fullmatch(r"0x[0-9a-fA-F]+", v):
             return False
-        if STORED_HASH.fullmatch(v) or strength < 2 and name.lower().endswith("key") and HASH_FORMAT.fullmatch(v) or any(c >= "\u2e80" for c in v):
+        if STORED_HASH.fullmatch(v) or strength < 2 and HASH_KEY.search(name) and HASH_FORMAT.fullmatch(v) or any(c >= "\u2e80" for c in v):
             return False  # a hash; or text of a script that isn't typed as a password
         rest = self.words.residual(v)
         if strength == 2:
@@ -326,7 +327,7 @@ class Finder:
                 s = 2
             if s and not HASH_NAMES.search(outside):
                 for m in literals:
-                    if "-----BEGIN" not in m[1] and self.value(m[1], s) and not self.name(m[1]) and "=" not in m[1][:-2] and not re.search(r'["{}]', m[1]):
+                    if "-----BEGIN" not in m[1] and self.value(m[1], s, name=outside.rstrip(" =:;,(")) and not self.name(m[1]) and "=" not in m[1][:-2] and not re.search(r'["{}]', m[1]):
                         out.append(m.span(1))
         return out
 
