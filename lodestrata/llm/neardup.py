@@ -77,14 +77,15 @@ class MinMax:
     def bands_of(self, sh: np.ndarray) -> np.ndarray:
         low, high = np.empty(len(self.keys), np.uint64), np.empty(len(self.keys), np.uint64)
         with np.errstate(over="ignore"):
-            for a in range(0, len(self.keys), 32):  # bounded memory for very long texts
+            wide = 128 if len(sh) <= 2_000 else 32  # bounded memory for very long texts
+            for a in range(0, len(self.keys), wide):
                 for b in range(0, len(sh), 20_000):
-                    p = (sh[None, b : b + 20_000] ^ self.keys[a : a + 32, None]) * np.uint64(0xFF51AFD7ED558CCD)
+                    p = (sh[None, b : b + 20_000] ^ self.keys[a : a + wide, None]) * np.uint64(0xFF51AFD7ED558CCD)
                     p ^= p >> np.uint64(32)
                     p *= np.uint64(0xC4CEB9FE1A85EC53)
                     lo, hi = p.min(axis=1), p.max(axis=1)
-                    low[a : a + 32] = lo if b == 0 else np.minimum(low[a : a + 32], lo)
-                    high[a : a + 32] = hi if b == 0 else np.maximum(high[a : a + 32], hi)
+                    low[a : a + wide] = lo if b == 0 else np.minimum(low[a : a + wide], lo)
+                    high[a : a + wide] = hi if b == 0 else np.maximum(high[a : a + wide], hi)
             values = np.r_[low, high].reshape(self.bands, self.rows)
             h = np.arange(self.bands, dtype=np.uint64)
             for k in range(self.rows):
@@ -174,18 +175,16 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from pairs(rest_k, rest_n)
 
 
-def nominated(keyed: DataFrame, block: int = BLOCK, nodes: int | None = None) -> DataFrame:
-    """Distinct pairs (a, b; a < b) of nodes that share a key. ``keyed``: key, node; ``nodes``: their number.
+def nominated(keyed: DataFrame, sample: DataFrame, nodes: int, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b; a < b) of nodes that share a key. ``keyed``: key, node; ``sample``: the rows of one node in SAMPLED; ``nodes``: their number.
 
     One shuffle by key; each partition is a stream sorted by key that gives the pairs of its buckets. A key on more than ``block`` nodes and more than
     1 / HOT_PARTS of them is hot: it goes another way, where each member meets the others block by block in tasks of their own, so no task reads a
     whole hot bucket. Hot keys are told from one node in SAMPLED, chosen by hash; this only decides which way a bucket takes, every pair comes out
     either way. There can't be more than bands x HOT_PARTS hot keys, which bounds their broadcast.
     """
-    if nodes is None:
-        nodes = keyed.select("node").distinct().count()
     most = max(block, nodes // HOT_PARTS)
-    hot = cut(keyed.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).distinct().groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("m")).where(F.col("m") > most).select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
+    hot = cut(sample.distinct().groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("m")).where(F.col("m") > most).select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
     light = keyed
     heavy = None
     if not hot.isEmpty():
@@ -214,17 +213,21 @@ def similar_classes(df: DataFrame, id_col: str, fields: list[str], numerator: in
     """
     for seed in range(8):
         all_ = cut(sketches(df, id_col, fields, size, least, seed))
-        reps = cut(all_.groupBy("node").agg(F.min("id").alias("rep"), F.first("field").alias("field"), F.min("class").alias("lo"), F.max("class").alias("hi")))
+        reps = cut(all_.groupBy("node").agg(F.min("id").alias("rep"), F.first("field").alias("field"), F.first("n").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")))
         if reps.where("lo <> hi").isEmpty():  # no two classes share their first half
             break
     else:
         raise RuntimeError("hashes of classes keep meeting")
     members = lookup(all_.select("field", "id", "node"), reps.select("node", "rep"), ["node"]).select("field", "id", "rep").distinct()
-    pairs = cut(nominated(banded(all_, bands, rows), block, reps.count()))
+    some = all_.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0)
+    pairs = nominated(banded(all_, bands, rows), banded(some, bands, rows), reps.count(), block)
+    # Sizes that can't reach the similarity drop out before any set is moved.
+    na, nb = (reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    pairs = cut(pairs.join(na, "a").join(nb, "b").where(F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = all_.select("node", "n", "sh").join(asked, "node", "left_semi").dropDuplicates(["node"]).join(reps.select("node", "rep", "field"), "node")
-    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sh").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator)
+    sets = all_.select("node", "sh").join(asked, "node", "left_semi").dropDuplicates(["node"])
+    a, b = (sets.select(F.col("node").alias(x), F.col("sh").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
     near = both.mapInArrow(_compare, "a bigint, b bigint, na int, nb int, shared int").withColumn("united", F.col("na") + F.col("nb") - F.col("shared")).where(F.col("shared") * denominator >= F.col("united") * numerator)
     ra, rb = reps.select(F.col("node").alias("a"), F.col("rep").alias("x"), "field"), reps.select(F.col("node").alias("b"), F.col("rep").alias("y"))
     return members, near.join(ra, "a").join(rb, "b").select("field", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "united")
