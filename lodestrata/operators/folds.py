@@ -18,7 +18,7 @@ def coalesce_small(clusters: DataFrame, most_members: int = 12, most_bytes: int
     stays within the large limits; a cluster that isn't small ends the run. ``merged_pos`` is the position of the first cluster merged.
 
     ``clusters``: group_key, pos, members, bytes. A stream sorted by (group, position) is folded in constant memory: a group of any size is never
-    held. Equal positions are taken in order of members and bytes; null sizes count as 0.
+    held. Equal positions are taken in order of members and bytes; null sizes count as 0. Callers count a routine of size 0 as one byte.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,10 @@ def preorder(members: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
         order += [v for v in nodes if v not in seen]
         return pd.DataFrame({"cluster": key[0], "v": order, "pos": range(len(order))})
 
-    inner = members.select("cluster", "v").distinct().join(edges.select(F.col("src").alias("v"), "dst").distinct(), "v", "left")
+    own = members.select("cluster", "v").distinct()
+    # Only edges inside a cluster reach its call.
+    inside = edges.select(F.col("src").alias("v"), "dst").distinct().join(own, "v").join(own.select("cluster", F.col("v").alias("dst")), ["cluster", "dst"], "left_semi")
+    inner = own.join(inside, ["cluster", "v"], "left").select("cluster", "v", "dst")
     return inner.groupBy("cluster").applyInPandas(walk, "cluster string, v bigint, pos int")
 
 

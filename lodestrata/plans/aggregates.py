@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions import scalar as S
+from lodestrata.operators.ranges import ranked
 from lodestrata.operators.skew import salted_aggregate
 from lodestrata.plans.helpers import Book
 from lodestrata.plans.joins import _DLL
@@ -127,18 +128,15 @@ def common_root(spark, sf):
 @book.add("f4_segment_chunks", "select routine_id, segment || case when count(*) over w > 50 then '_' || ((row_number() over (partition by binary_id, segment order by address) - 1) // 50) else '' end as label from routines where segment is not null window w as (partition by binary_id, segment)")
 def segment_chunks(spark, sf):
     """Chunks of fifty by address. Ranks come from counts per address block, so a segment with most routines isn't one task's window."""
-    r = table(spark, sf, "routines").where("segment is not null").withColumn("block", F.floor(F.col("address") / (1 << 16)))
-    sizes = r.groupBy("binary_id", "segment", "block").agg(F.count(F.lit(1)).alias("m"))
-    w = Window.partitionBy("binary_id", "segment")
-    sizes = sizes.withColumn("before", F.sum("m").over(w.orderBy("block")) - F.col("m")).withColumn("all", F.sum("m").over(w)).drop("m")
-    ranked = r.withColumn("k", F.row_number().over(Window.partitionBy("binary_id", "segment", "block").orderBy("address"))).join(sizes, ["binary_id", "segment", "block"])
-    return ranked.select("routine_id", F.concat("segment", F.when(F.col("all") > 50, F.concat(F.lit("_"), F.floor((F.col("k") + F.col("before") - 1) / 50).cast("string"))).otherwise("")).alias("label"))
+    r = ranked(table(spark, sf, "routines").where("segment is not null").select("routine_id", "binary_id", "segment", "address"), ["binary_id", "segment"], "address", "k", most="all")
+    return r.select("routine_id", F.concat("segment", F.when(F.col("all") > 50, F.concat(F.lit("_"), F.floor((F.col("k") - 1) / 50).cast("string"))).otherwise("")).alias("label"))
 
 
 @book.add("f5_support_groups", "select routine_id, code_kind || ':' || coalesce(segment, '-') as grp, (row_number() over (partition by binary_id, code_kind, segment order by address) - 1) // 50 as chunk from routines where code_kind <> 'app'")
 def support_groups(spark, sf):
-    w = Window.partitionBy("binary_id", "code_kind", "segment").orderBy("address")
-    return table(spark, sf, "routines").where("code_kind <> 'app'").select("routine_id", F.concat("code_kind", F.lit(":"), F.coalesce("segment", F.lit("-"))).alias("grp"), F.floor((F.row_number().over(w) - 1) / 50).alias("chunk"))
+    """Chunks of fifty by address, ranked in blocks of addresses."""
+    r = ranked(table(spark, sf, "routines").where("code_kind <> 'app'").select("routine_id", "binary_id", "code_kind", "segment", "address"), ["binary_id", "code_kind", "segment"], "address", "k")
+    return r.select("routine_id", F.concat("code_kind", F.lit(":"), F.coalesce("segment", F.lit("-"))).alias("grp"), F.floor((F.col("k") - 1) / 50).alias("chunk"))
 
 
 @book.add("g4_latest_render", "select binary_id, cast(address as varchar) as address, render_id from renders qualify row_number() over (partition by binary_id, address order by rendered_at desc, render_id desc) = 1")
@@ -201,10 +199,9 @@ def unfinished(spark, sf):
 
 @book.add("j33_islands", "with d as (select distinct binary_id, function_row_id as i from function_rows), g as (select binary_id, i, i - row_number() over (partition by binary_id order by i) as k from d) select binary_id, min(i) as first_i, max(i) as last_i from g group by binary_id, k")
 def islands(spark, sf):
-    """Consecutive ids of a binary as ranges. Starts and ends are found by self-joins on i-1 and i+1 and paired by rank inside blocks of starts."""
+    """Consecutive ids of a binary as ranges. Starts and ends are found by self-joins on i-1 and i+1 and paired by rank; ranks are made in blocks of ids."""
     d = table(spark, sf, "function_rows").select("binary_id", F.col("function_row_id").alias("i")).distinct()
     starts = d.join(d.select("binary_id", (F.col("i") + 1).alias("i")), ["binary_id", "i"], "left_anti")
     ends = d.join(d.select("binary_id", (F.col("i") - 1).alias("i")), ["binary_id", "i"], "left_anti")
-    w = Window.partitionBy("binary_id").orderBy("i")
-    a, b = starts.select("binary_id", F.col("i").alias("first_i"), F.row_number().over(w).alias("r")), ends.select("binary_id", F.col("i").alias("last_i"), F.row_number().over(w).alias("r"))
+    a, b = (ranked(x, ["binary_id"], "i", "r").withColumnRenamed("i", name) for x, name in ((starts, "first_i"), (ends, "last_i")))
     return a.join(b, ["binary_id", "r"]).select("binary_id", "first_i", "last_i")

@@ -55,22 +55,22 @@ def root_ids(spark, sf):
 
 
 def call_edges(spark, sf) -> DataFrame:
-    """Distinct call edges between routines of the inventory, as routine ids; thunks left out."""
+    """Distinct call edges between routines of the inventory, as routine ids, with their binary; thunks left out."""
     r = table(spark, sf, "routines").where("not thunk")
     s, d = r.select("binary_id", F.col("address").alias("src"), F.col("routine_id").alias("a")), r.select("binary_id", F.col("address").alias("dst"), F.col("routine_id").alias("b"))
-    return table(spark, sf, "calls").select("binary_id", "src", "dst").distinct().join(s, ["binary_id", "src"]).join(d, ["binary_id", "dst"]).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return table(spark, sf, "calls").select("binary_id", "src", "dst").distinct().join(s, ["binary_id", "src"]).join(d, ["binary_id", "dst"]).select(F.col("a").alias("src"), F.col("b").alias("dst"), "binary_id")
 
 
 @book.add("e6_components", f"with {_SCC} select routine_id, component from scc")
 def components(spark, sf):
     """Strongly connected components of the call graph with two or more routines."""
-    return strong_components(call_edges(spark, sf)).select(F.col("v").alias("routine_id"), "component")
+    return strong_components(call_edges(spark, sf), "binary_id").select(F.col("v").alias("routine_id"), "component")
 
 
 @book.add("e7_cycles", f"with {_SCC} select component, count(*) as members, max(routine_id) as largest from scc group by 1")
 def cycles(spark, sf):
-    """Size of each cycle group."""
-    return components(spark, sf).groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.max("routine_id").alias("largest"))
+    """Size of each cycle group, found by rounds of joins over the whole graph as for parts of any size."""
+    return strong_components(call_edges(spark, sf)).groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.max("v").alias("largest"))
 
 
 def label_clusters(edges: DataFrame, nodes: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -80,7 +80,7 @@ def label_clusters(edges: DataFrame, nodes: DataFrame, max_rounds: int = 10_000)
     One round per layer of the condensed graph; labels are reduced to their minimum and maximum, which is all it takes to know whether there are
     several, so a component with very many callers is no list in one task. The label of a component is its smallest node.
     """
-    scc = strong_components(edges)
+    scc = strong_components(edges, "binary_id" if "binary_id" in edges.columns else None)
     comp = cut(nodes.select("v").distinct().join(scc, "v", "left").select("v", F.coalesce("component", "v").alias("c")))
     links = edges.join(comp.select(F.col("v").alias("src"), F.col("c").alias("a")), "src").join(comp.select(F.col("v").alias("dst"), F.col("c").alias("b")), "dst").select("a", "b").where("a <> b").distinct()
     links = cut(links)
@@ -102,6 +102,8 @@ def label_clusters(edges: DataFrame, nodes: DataFrame, max_rounds: int = 10_000)
             done = cut(done)
         open_ = cut(open_.join(ready, "c", "left_anti"))
         waiting = cut(waiting.join(ready.withColumnRenamed("c", "a"), "a", "left_anti"))
+    else:
+        raise RuntimeError("label clusters: rounds ran out")
     return comp.join(done, "c").select("v", "label", "shared")
 
 
@@ -122,7 +124,7 @@ def member_preorder(spark, sf):
 @book.add("f7_coalesced", None)
 def coalesced(spark, sf):
     """Adjacent small source files of a folder merged."""
-    c = table(spark, sf, "routines").where("source_file is not null").groupBy("binary_id", "source_file").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes"), F.min("routine_id").alias("pos"))
+    c = table(spark, sf, "routines").where("source_file is not null").groupBy("binary_id", "source_file").agg(F.count(F.lit(1)).alias("members"), F.sum(F.greatest("size", F.lit(1))).alias("bytes"), F.min("routine_id").alias("pos"))
     return coalesce_small(c.withColumn("group_key", F.col("binary_id").cast("string")))
 
 

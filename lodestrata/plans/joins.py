@@ -194,8 +194,16 @@ def compare_inventories(spark, sf):
 
 @book.add("c44_best_type", "with p as (select distinct r.routine_id, r.binary_id, x.name || ' ' || x.type as member from routines r, unnest(r.params) as t(x) where r.code_kind <> 'app' ), q as (select distinct r.routine_id, r.binary_id, x.name || ' ' || x.type as member from routines r, unnest(r.params) as t(x) where r.code_kind = 'app'), n as (select p.routine_id, q.routine_id as best, count(*) as shared from p join q on q.binary_id = p.binary_id and q.member = p.member group by 1, 2) select routine_id, best, shared from n qualify row_number() over (partition by routine_id order by shared desc, best) = 1")
 def best_type(spark, sf):
-    """For each routine outside the app the app routine of its binary that shares most (name, type) parameters; joined on the members, not crossed."""
-    r = table(spark, sf, "routines").select("routine_id", "binary_id", "code_kind", F.explode("params").alias("x")).select("routine_id", "binary_id", "code_kind", F.concat("x.name", F.lit(" "), "x.type").alias("member")).distinct()
-    p, q = r.where("code_kind <> 'app'").drop("code_kind"), r.where("code_kind = 'app'").select(F.col("routine_id").alias("best"), "binary_id", "member")
-    n = p.join(q, ["binary_id", "member"]).groupBy("routine_id", "best").agg(F.count(F.lit(1)).alias("shared"))
-    return n.groupBy("routine_id").agg(F.max(F.struct("shared", (-F.col("best")).alias("b"))).alias("x")).select("routine_id", (-F.col("x.b")).alias("best"), "x.shared")
+    """For each routine outside the app the app routine of its binary that shares most (name, type) parameters.
+
+    Routines with equal parameters are one kind; kinds are joined on their members, so a parameter that most routines have pairs kinds, not routines.
+    """
+    r = table(spark, sf, "routines").where("size(params) > 0 and code_kind is not null").select("routine_id", "binary_id", (F.col("code_kind") == "app").alias("app"), F.array_sort(F.array_distinct(F.transform("params", lambda x: F.concat(x["name"], F.lit(" "), x["type"])))).alias("members"))
+    r = r.withColumn("members", F.array_compact("members"))
+    kinds = r.groupBy("binary_id", "app", "members").agg(F.min("routine_id").alias("first"))  # routines with equal members are one kind
+    m = kinds.withColumn("member", F.explode("members"))
+    p, q = m.where("not app").select("binary_id", F.col("first").alias("kind"), "member"), m.where("app").select("binary_id", F.col("first").alias("best"), "member")
+    n = p.join(q, ["binary_id", "member"]).groupBy("binary_id", "kind", "best").agg(F.count(F.lit(1)).alias("shared"))
+    top = n.groupBy("binary_id", "kind").agg(F.max(F.struct("shared", (-F.col("best")).alias("b"))).alias("x"))
+    of = kinds.where("not app").select("binary_id", "members", F.col("first").alias("kind")).join(top, ["binary_id", "kind"]).select("binary_id", "members", (-F.col("x.b")).alias("best"), "x.shared")
+    return r.where("not app").join(of, ["binary_id", "members"]).select("routine_id", "best", "shared")

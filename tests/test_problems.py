@@ -69,9 +69,11 @@ def test_asof_and_interval_joins(spark):
 
 def test_graphs(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (5, 7), (1, 2), (8, 7), (None, 1)], "src bigint, dst bigint")
-    for one_task in (0, 100):
-        assert rows(strong_components(e, one_task=one_task), "v", "component") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
-        assert strong_components(e.limit(0), one_task=one_task).count() == 0
+    assert rows(strong_components(e), "v", "component") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    parts = e.withColumn("p", F.lit("x")).union(e.selectExpr("src + 10", "dst + 10", "'y'")).union(spark.createDataFrame([(31, 32, "z"), (32, 31, "z")], "src bigint, dst bigint, p string"))
+    for local in (0, 5, 100):  # none, some and all parts in one call each
+        assert rows(strong_components(parts, "p", local=local), "v", "component") == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (11, 11), (12, 11), (13, 11), (14, 14), (15, 14), (31, 31), (32, 31)], key=repr)
+    assert strong_components(e.limit(0)).count() == 0
     seeds = spark.createDataFrame([(3,), (3,), (None,)], "v bigint")
     assert rows(reach(seeds, e.selectExpr("src as src_v", "dst as dst_v"), ["v"]), "v", "depth") == [(1, 1), (2, 2), (3, 0), (4, 1), (5, 2), (7, 3)]
     assert rows(connected_components(e.selectExpr("src as a", "dst as b")), "node", "component") == [(i, 1) for i in (1, 2, 3, 4, 5, 7, 8)]
