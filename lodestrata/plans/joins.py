@@ -89,14 +89,14 @@ def function_metadata(spark, sf):
     return r.select("routine_id", F.coalesce("exported_name", "name").alias("name"), "line_start", "line_end", "renders", "latest")
 
 
-@book.add("c13_bind_imports", f"with {_EXP}, {_IMP}, b as (select dll, name, exp_ord, address, count(*) over (partition by dll, name) - 1 as others, row_number() over (partition by dll, name order by weak, exp_ord) as r from e) select i.import_id, b.exp_ord, b.address, b.others from i left join b on b.dll = i.dll and b.name = i.name and b.r = 1")
+@book.add("c33_bind_imports", f"with {_EXP}, {_IMP}, b as (select dll, name, exp_ord, address, count(*) over (partition by dll, name) - 1 as others, row_number() over (partition by dll, name order by weak, exp_ord) as r from e) select i.import_id, b.exp_ord, b.address, b.others from i left join b on b.dll = i.dll and b.name = i.name and b.r = 1")
 def bind_imports(spark, sf):
     """The strong definition first, then the first in order; ``others`` are further candidates. The export table is reduced to one row per key before the join."""
     best = exports(spark, sf).where("dll is not null and name is not null").groupBy("dll", "name").agg(F.min(F.struct("weak", "exp_ord", "address")).alias("x"), (F.count(F.lit(1)) - 1).alias("others"))
     return imports(spark, sf).join(best, ["dll", "name"], "left").select("import_id", "x.exp_ord", "x.address", "others")
 
 
-@book.add("c14_bind_versions", f"with {_EXP} select exp_ord from (select exp_ord, row_number() over (partition by dll, name order by version is null, version desc, exp_ord) as r from e where dll is not null and name is not null) where r = 1")
+@book.add("g2_newest_version", f"with {_EXP} select exp_ord from (select exp_ord, row_number() over (partition by dll, name order by version is null, version desc, exp_ord) as r from e where dll is not null and name is not null) where r = 1")
 def bind_versions(spark, sf):
     """The row of each name that a lookup by the newest version takes; unversioned rows last."""
     e = exports(spark, sf).where("dll is not null and name is not null")
@@ -104,30 +104,7 @@ def bind_versions(spark, sf):
     return best.select((-F.col("x.o")).alias("exp_ord"))
 
 
-@book.add("c15_forwarder_chains", None)
-def forwarder_chains(spark, sf, hops: int = 16):
-    """Where each forwarder ends after at most 16 hops: (exp_ord, target exp_ord or null, hops, status)."""
-    e = exports(spark, sf)
-    stem = F.regexp_replace("dll", r"\.[^.]*$", "")
-    named = e.where("dll is not null and name is not null").groupBy(stem.alias("to_dll"), F.col("name").alias("to_name")).agg(F.min(F.struct("exp_ord", "forwarder")).alias("t"))
-    state = e.where("forwarder is not null").select("exp_ord", "forwarder", F.lit(None).cast("int").alias("target"), F.lit(0).alias("hops"), F.lit("open").alias("status"))
-    for _ in range(hops):
-        step = state.withColumns({"to_dll": F.regexp_replace(F.lower(F.regexp_extract("forwarder", r"^(.+)\.([^.]+)$", 1)), r"\.[^.]*$", ""), "to_name": F.regexp_extract("forwarder", r"^(.+)\.([^.]+)$", 2)})
-        step = step.join(F.broadcast(named) if named.count() <= 100_000 else named, ["to_dll", "to_name"], "left")
-        going = F.col("status") == "open"
-        state = step.select(
-            "exp_ord",
-            F.when(going, F.col("t.forwarder")).otherwise(F.col("forwarder")).alias("forwarder"),
-            F.when(going, F.col("t.exp_ord")).otherwise(F.col("target")).alias("target"),
-            (F.col("hops") + going.cast("int")).alias("hops"),
-            F.when(~going, F.col("status")).when(F.col("t").isNull(), "missing").when(F.col("t.forwarder").isNull(), "bound").otherwise("open").alias("status"),
-        )
-        if state.where("status = 'open'").isEmpty():
-            break
-    return state.select("exp_ord", "target", "hops", F.when(F.col("status") == "open", "loop").otherwise(F.col("status")).alias("status"))
-
-
-@book.add("c18_candidate_names", f"with {_EXP}, {_IMP}, k as (select distinct dll, name from i), c as (select dll, name, unnest([name, name || 'W', name || 'A', '_' || name]) as candidate, unnest([0, 1, 2, 3]) as pos from k), e1 as (select distinct dll, name from e) select c.dll, c.name, arg_min(c.candidate, c.pos) as found from c join e1 on e1.dll = c.dll and e1.name = c.candidate group by 1, 2")
+@book.add("j7_candidate_names", f"with {_EXP}, {_IMP}, k as (select distinct dll, name from i), c as (select dll, name, unnest([name, name || 'W', name || 'A', '_' || name]) as candidate, unnest([0, 1, 2, 3]) as pos from k), e1 as (select distinct dll, name from e) select c.dll, c.name, arg_min(c.candidate, c.pos) as found from c join e1 on e1.dll = c.dll and e1.name = c.candidate group by 1, 2")
 def candidate_names(spark, sf):
     keys = imports(spark, sf).select("dll", "name").distinct()
     forms = F.array(F.col("name"), F.concat("name", F.lit("W")), F.concat("name", F.lit("A")), F.concat(F.lit("_"), F.col("name")))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import aggregates, graphs, joins, problems, scalars, scans
+from lodestrata.plans import aggregates, graphs, joins, linking, problems, scalars, scans
 
-MODULES = [problems, scans, joins, aggregates, graphs, scalars]
+MODULES = [problems, scans, joins, aggregates, graphs, scalars, linking]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
