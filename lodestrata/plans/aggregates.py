@@ -174,12 +174,16 @@ def changed_rows(spark, sf):
     return r.join(f, ["binary_id", "address"], "full").select("routine_id", "function_row_id", state.alias("state"))
 
 
-@book.add("i5_dirty_set", "with ch as (select r.binary_id, r.address from routines r join function_rows f on f.binary_id = r.binary_id and f.address = r.address where r.name <> f.name or r.size <> f.size), d as (select * from ch union select c.binary_id, c.src from calls c join ch on ch.binary_id = c.binary_id and ch.address = c.dst) select r.routine_id from routines r join d on d.binary_id = r.binary_id and d.address = r.address")
+_FILE = r"regexp_extract({}, '([^/\\]*)$', 1)"
+
+
+@book.add("i5_dirty_set", f"with ch as (select r.binary_id, r.address from routines r join function_rows f on f.binary_id = r.binary_id and f.address = r.address where r.name <> f.name or r.size <> f.size or {_FILE.format('f.source_file')} <> {_FILE.format('r.source_file')}), d as (select * from ch union select c.binary_id, c.src from calls c join ch on ch.binary_id = c.binary_id and ch.address = c.dst) select r.routine_id from routines r join d on d.binary_id = r.binary_id and d.address = r.address")
 def dirty_set(spark, sf):
-    """Changed routines and their direct callers, as far as they are in the inventory."""
-    f = table(spark, sf, "function_rows").select("binary_id", "address", F.col("name").alias("fn"), F.col("size").alias("fs"))
-    r = table(spark, sf, "routines").select("routine_id", "binary_id", "address", "name", "size")
-    changed = r.join(f, ["binary_id", "address"]).where("name <> fn or size <> fs").select("binary_id", "address")
+    """Renamed, resized and moved routines and their direct callers, as far as they are in the inventory."""
+    file = lambda c: F.regexp_extract(c, r"([^/\\]*)$", 1)
+    f = table(spark, sf, "function_rows").select("binary_id", "address", F.col("name").alias("fn"), F.col("size").alias("fs"), file("source_file").alias("ff"))
+    r = table(spark, sf, "routines").select("routine_id", "binary_id", "address", "name", "size", file("source_file").alias("rf"))
+    changed = r.join(f, ["binary_id", "address"]).where("name <> fn or size <> fs or ff <> rf").select("binary_id", "address")
     callers = table(spark, sf, "calls").select("binary_id", "src", F.col("dst").alias("address")).distinct().join(changed, ["binary_id", "address"], "left_semi").select("binary_id", F.col("src").alias("address"))
     return r.join(changed.unionByName(callers), ["binary_id", "address"], "left_semi").select("routine_id")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions import scalar as S
+from lodestrata.operators.skew import lookup
 from lodestrata.plans.helpers import Book
 from lodestrata.session import table
 
@@ -56,11 +57,11 @@ def address_domain(spark, sf):
     return parts[0].union(parts[1]).union(parts[2]).where("a is not null").distinct().groupBy("binary_id").agg(F.count(F.lit(1)).alias("addresses"))
 
 
-@book.add("a14_duplicates", "select render_id, first_id as duplicate_of from (select render_id, min(render_id) over (partition by sha256(c_text)) as first_id from renders where c_text is not null) where render_id <> first_id")
+@book.add("a14_duplicates", "select doc_id, first_id as duplicate_of from (select doc_id, min(doc_id) over (partition by sha256(text)) as first_id from documents where text is not null) where doc_id <> first_id")
 def duplicates(spark, sf):
-    """The smallest id of each content hash, joined back on the hash: no window holds all copies."""
-    keyed = table(spark, sf, "renders").where("c_text is not null").select("render_id", F.sha2("c_text", 256).alias("h"))
-    return keyed.join(keyed.groupBy("h").agg(F.min("render_id").alias("duplicate_of")), "h").where("render_id <> duplicate_of").select("render_id", "duplicate_of")
+    """The smallest id of each content hash, looked up by the hash: no window holds all copies, and a much-copied text meets a broadcast row."""
+    keyed = table(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
+    return lookup(keyed, keyed.groupBy("h").agg(F.min("doc_id").alias("duplicate_of")), ["h"]).where("doc_id <> duplicate_of").select("doc_id", "duplicate_of")
 
 
 @book.add("a46_function_index", "select function_row_id, '0x' || lower(to_hex(address::ubigint)) as address, source_file, line_start, line_end, line_end - line_start + 1 as lines from function_rows where line_start is not null")
