@@ -56,12 +56,12 @@ def triage(spark, sf):
     return table(spark, sf, "routines").groupBy("binary_id").agg(F.count(F.lit(1)).alias("routines_n"), F.count_if("imported").alias("imported_n"), F.count_if("thunk").alias("thunks_n"), F.sum("size").alias("total_size"), F.max("size").alias("largest"), F.count("source_file").alias("with_source"))
 
 
-@book.add("d13_kind_counts", "select code_kind, calltype, count(*) as n from routines group by 1, 2")
+@book.add("d10_kind_counts", "select code_kind, calltype, count(*) as n from routines group by 1, 2")
 def kind_counts(spark, sf):
     return table(spark, sf, "routines").groupBy("code_kind", "calltype").agg(F.count(F.lit(1)).alias("n"))
 
 
-@book.add("d14_binary_statistics", "with r as (select binary_id, count(*) as routines_n from routines group by 1), s as (select binary_id, count(distinct string_id) as strings_n from strings group by 1), f as (select binary_id, count(*) as files_n from source_files group by 1) select r.binary_id, routines_n, coalesce(strings_n, 0) as strings_n, coalesce(files_n, 0) as files_n from r left join s using (binary_id) left join f using (binary_id)")
+@book.add("d10_binary_statistics", "with r as (select binary_id, count(*) as routines_n from routines group by 1), s as (select binary_id, count(distinct string_id) as strings_n from strings group by 1), f as (select binary_id, count(*) as files_n from source_files group by 1) select r.binary_id, routines_n, coalesce(strings_n, 0) as strings_n, coalesce(files_n, 0) as files_n from r left join s using (binary_id) left join f using (binary_id)")
 def binary_statistics(spark, sf):
     r = table(spark, sf, "routines").groupBy("binary_id").agg(F.count(F.lit(1)).alias("routines_n"))
     s = table(spark, sf, "strings").select("binary_id", "string_id").distinct().groupBy("binary_id").agg(F.count(F.lit(1)).alias("strings_n"))
@@ -69,7 +69,7 @@ def binary_statistics(spark, sf):
     return r.join(s, "binary_id", "left").join(f, "binary_id", "left").select("binary_id", "routines_n", F.coalesce("strings_n", F.lit(0)).alias("strings_n"), F.coalesce("files_n", F.lit(0)).alias("files_n"))
 
 
-@book.add("d15_largest_members", "with r as (select binary_id, name, size, row_number() over (partition by binary_id order by size desc, routine_id) as r from routines) select binary_id, string_agg(name || '=' || size, ';' order by r) as members from r where r <= 8 group by 1")
+@book.add("h8_largest_members", "with r as (select binary_id, name, size, row_number() over (partition by binary_id order by size desc, routine_id) as r from routines) select binary_id, string_agg(name || '=' || size, ';' order by r) as members from r where r <= 8 group by 1")
 def largest_members(spark, sf):
     """Nested list of the eight largest routines per binary: ranked per salt first, so that nothing unbounded is gathered."""
     order = [F.desc("size"), F.col("routine_id")]

@@ -81,3 +81,39 @@ MAINS = _f("mains", "path string, main string", ("Frame", "Main"), ("Main", "Mai
 FORWARDERS = _f("forwarders", "path string, owner string, assembly string", ("Lib.dll", "Lib.Old", "New"), ("Lib.dll", "Lib.Away", "Absent"))
 ASSEMBLIES = _f("assemblies", "assembly string, path string", ("New", "New.dll"), ("New", "zz/New.dll"), ("Lib", "Lib.dll"))
 FORMATS = _f("formats", "path string, format string", ("native.dll", "pe"), ("libnative.dylib", "macho"), ("libplain.so", "elf"))
+
+TYPES = _f(
+    "types", "assembly int, token int, full_name string, namespace string, name string, visibility string, declaring int, compiler_generated boolean",
+    (0, 1, "<Module>", "", "<Module>", "NotPublic", N, False), (0, 2, "Lib.A", "Lib", "A", "Public", N, False), (0, 3, "Lib.A+In", "Lib", "In", "NestedPublic", 2, False), (0, 4, "Lib.A+Hid", "Lib", "Hid", "NestedPrivate", 2, False), (0, 5, "Lib.A+Hid+Deep", "Lib", "Deep", "NestedPublic", 4, False), (0, 6, "Lib.A+<>c", "Lib", "<>c", "NestedPrivate", 2, True), (0, 7, "Lib.A+<Run>d__1", "Lib", "<Run>d__1", "NestedPrivate", 2, True), (0, 8, "Lib.B", "Lib", "B", "NotPublic", N, False), (1, 2, "App.Main", "App", "Main", "Public", N, False), (1, 3, "App.Tool", "App", "Tool", "Public", N, False),
+)
+METHODS = _f(
+    "methods", "id int, assembly int, token int, type_token int, name string, public boolean, is_virtual boolean, is_constructor boolean, unmanaged_entry boolean, compiler_generated boolean, state_machine int, pinvoke_module string, pinvoke_entry string",
+    (0, 0, 10, 1, ".cctor", False, False, True, False, False, N, N, N), (1, 0, 11, 2, "Run", True, False, False, False, False, 7, N, N), (2, 0, 12, 2, "Help", False, False, False, False, False, N, N, N), (3, 0, 13, 3, "Show", True, True, False, False, False, N, N, N), (4, 0, 14, 5, "Deep", True, False, False, False, False, N, N, N), (5, 0, 15, 6, "<Help>b__0", False, False, False, False, True, N, N, N), (6, 0, 16, 7, "MoveNext", False, False, False, False, True, N, N, N), (7, 0, 17, 8, "Dispose", False, False, False, False, False, N, N, N),
+    (8, 0, 18, 8, "Native", False, False, False, False, False, N, "user32.dll", "MessageBoxW"), (9, 0, 19, 8, "Exported", False, False, False, True, False, N, N, N), (10, 1, 10, 2, "Main", False, False, False, False, False, N, N, N), (11, 1, 11, 2, "Pub", True, False, False, False, False, N, N, N), (12, 1, 12, 3, "<Gone>b__1", False, False, False, False, True, N, N, N), (13, 1, 13, 3, "Beep", False, False, False, False, False, N, "user32.dll", "MessageBeep"), (14, 1, 14, 3, "Unused", False, False, False, False, False, N, N, N),
+)
+MANAGED = _f("managed", "assembly int, name string, entry_point int, target_framework string", (0, "Lib", N, ".NETStandard,Version=v2.0"), (1, "App", 10, ".NETCoreApp,Version=v6.0"))
+MANAGED_CALLS = _f("mcalls", "src int, dst int", (10, 1), (10, 1), (1, 2), (2, 5), (10, 13), (3, 8), (10, 10))
+EXTERNAL = _f("external", "src int, scope string, member string", (1, "System.Runtime", "System.Console::WriteLine"), (10, "System.Runtime", "System.Console::WriteLine"), (10, "System.Net.Http", "System.Net.Http.HttpClient::GetAsync"), (2, "System.Runtime", "System.Diagnostics.Process::Start"), (3, "System.Runtime", "System.IO.File::ReadAllText"), (10, "System.Runtime", "System.Console::WriteLine"))
+REFERENCES = _f("refs", "caller int, kind string, token int, name string, signature string", (1, "def", 12, N, N), (1, "spec", 90, N, N), (2, "member", 80, "WriteLine", "(string)void"), (10, "member", 81, "Help", "()void"), (10, "def", 99, N, N), (1, "def", 12, N, N))
+SPECS = _f("specs", "assembly int, token int, method int", (0, 90, 13))
+TFMS = _f("tfms", "tfm string", *[(x,) for x in ("net35", "net472", "net48", "netstandard2.0", "netcoreapp3.1", "net6.0", "net10.0-windows", "monoandroid10", "NET8.0")])
+MONIKERS = _f("monikers", "attribute string", *[(x,) for x in (".NETCoreApp,Version=v6.0", ".NETCoreApp,Version=v3.1", ".NETStandard,Version=v2.1", ".NETFramework,Version=v4.7.2", "Silverlight,Version=v5.0", ".NETCoreApp,Version=v10.0")])
+CLASSES = _f(
+    "classes", "descriptor string, package string, class_index int, superclass string, entry boolean",
+    ("Lcom/app/Main;", "com.app", 0, "Landroid/app/Activity;", True), ("Lcom/app/Net;", "com.app", 1, "Ljava/lang/Object;", False), ("Lcom/lib/Util;", "com.lib", 2, "Ljava/lang/Object;", False), ("Lcom/app/App;", "com.app", 3, "Landroid/app/Application;", True),
+)
+DEX_METHODS = _f("dexm", "id int, class_descriptor string, name string, native boolean, code_size int", (0, "Lcom/app/Main;", "onCreate", False, 40), (1, "Lcom/app/Main;", "load", False, 20), (2, "Lcom/app/Net;", "nativeAdd", True, 0), (3, "Lcom/app/Net;", "get", False, 90), (4, "Lcom/lib/Util;", "join", False, 12), (5, "Lcom/lib/Util;", "unused_1", False, 8), (6, "Lcom/app/App;", "onCreate", False, 8))
+DEX_REFS = _f("dexrefs", "src int, kind string, ref int, ord int", (0, "method", 11, 0), (0, "method", 13, 1), (0, "method", 11, 2), (0, "string", 1, 3), (1, "method", 12, 0), (3, "method", 14, 0), (3, "method", 90, 1), (3, "string", 0, 2), (1, "string", 0, 1), (1, "method", 91, 2), (3, "method", 90, 3))
+DEX_INDEX = _f("dexidx", "ref int, descriptor string, method_id int", (11, "Lcom/app/Main;->load()V", 1), (12, "Lcom/app/Net;->nativeAdd(II)I", 2), (13, "Lcom/app/Net;->get()V", 3), (14, "Lcom/lib/Util;->join()V", 4), (90, "Ljava/net/URL;->openStream()V", N), (91, "Ljava/lang/Thread;->start()V", N))
+DEX_STRINGS = _f("dexs", "ref int, value string", (0, "https://api.example.com/v1"), (1, "hello"), (2, "select name from users"))
+COMPONENTS = _f("components", "ord int, kind string, name string, exported boolean, permission string", (0, "activity", ".Main", True, N), (1, "service", "com.app.Gone", False, N), (2, "application", ".App", False, N), (3, "activity", "com.app.Net", True, "com.app.CALL"), (4, "activity", ".Main", True, N))
+PERMISSIONS = _f("permissions", "name string", *[(x,) for x in ("android.permission.INTERNET", "android.permission.CAMERA", "android.permission.READ_SMS", "com.app.MY_CAMERA", "android.permission.VIBRATE", "android.permission.ACCESS_FINE_LOCATION")])
+NATIVES = _f("natives", "apk_ord int, abi string, name string", (1, "arm64-v8a", "liba.so"), (0, "arm64-v8a", "liba.so"), (2, "x86", "liba.so"), (1, "x86", "libb.so"), (3, "x86", "liba.so"))
+FILES = _f(
+    "files", "ord int, path string, role string, main boolean, size int, duplicate_of string, archs array<string>",
+    (0, "bin/tool", "executable", False, 900, N, ["x86_64"]), (1, "app", "executable", False, 100, N, ["x86", "x86_64"]), (2, "My.app/Contents/MacOS/My", "executable", True, 50, N, ["arm64"]), (3, "copy", "executable", False, 999, "app", ["x86"]), (4, "lib/liba.so", "library", False, 10, N, ["x86_64"]), (5, "lib/libz.so", "library", False, 11, N, ["x86_64"]), (6, "My.app/Contents/Info.plist", "data", False, 1, N, []), (7, "Other.app/Contents/MacOS/Run", "executable", False, 5, N, ["arm64"]), (8, "Other.app/Contents/MacOS/deep/Run2", "executable", False, 6, N, ["arm64"]),
+)
+CHAINS = _f("chains", "root string, pos int, image string", ("app", 0, "app"), ("app", 1, "lib/liba.so"), ("bin/tool", 0, "bin/tool"), ("bin/tool", 1, "lib/liba.so"), ("lib/libz.so", 0, "lib/libz.so"))
+PLISTS = _f("plists", "bundle string, executable string", ("My.app", "My"))
+NEEDS = _f("needs", "path string, lib_idx int, name string, kind string", ("web/Web.dll", 0, "Core", "assembly"), ("web/Web.dll", 1, "System.Xml", "assembly"), ("web/Web.dll", 2, "Side", "assembly"), ("web/Web.dll", 3, "Nope", "assembly"), ("web/Web.dll", 4, "Host", "assembly"), ("web/Web.dll", 5, "sqlite", "pinvoke"), ("web/Web.dll", 6, "kern.dll", "pinvoke"))
+IMAGES = _f("images", "path string, assembly string", ("Core.DLL", "Core"), ("web/Web.dll", "Web"), ("deep/Side.dll", "Side"), ("Host.exe", "Host"), ("web/libsqlite.so", N), ("web/runtimes/linux/native/libsqlite.so", N), ("web/runtimes/win/native/sqlite.dll", N), ("web/runtimes/win/lib/sqlite.dll", N))

@@ -257,12 +257,13 @@ def search_text(spark, sf):
     return table(spark, sf, "strings").where(F.contains("value", F.lit("lock"))).select("string_id", (F.instr("value", F.lit("lock")) - 1).alias("pos")).orderBy("string_id", "pos").limit(1000)
 
 
-@book.add("i3_renamed", "with x as (select binary_id, address, import_id, loaded_at, name from imports where address is not null and name is not null), o as (select binary_id, address, arg_min(name, (loaded_at, import_id, name)) as old_name, arg_max(name, (loaded_at, import_id, name)) as new_name from x group by 1, 2) select binary_id, cast(address as varchar) as address, old_name, new_name from o where old_name <> new_name")
+@book.add("i3_renamed", "with x as (select binary_id, regexp_replace(regexp_replace(name, '^__imp_', ''), '@.*$', '', 's') as key, import_id, loaded_at, name from imports where name is not null), o as (select binary_id, key, arg_min(name, (loaded_at, import_id, name)) as old_name, arg_max(name, (loaded_at, import_id, name)) as new_name from x group by 1, 2) select * from o where old_name <> new_name")
 def renamed(spark, sf):
-    """Addresses whose import goes by another name in its last row than in its first; both ends by partial minima and maxima."""
+    """Symbols that go by another name in their last row than in their first; both ends by partial minima and maxima."""
+    key = F.regexp_replace(F.regexp_replace("name", "^__imp_", ""), "(?s)@.*$", "")
     row = F.struct("loaded_at", "import_id", "name")
-    x = table(spark, sf, "imports").where("address is not null and name is not null").groupBy("binary_id", "address").agg(F.min(row).alias("o"), F.max(row).alias("n"))
-    return x.where("o.name <> n.name").select("binary_id", F.col("address").cast("string").alias("address"), F.col("o.name").alias("old_name"), F.col("n.name").alias("new_name"))
+    x = table(spark, sf, "imports").where("name is not null").groupBy("binary_id", key.alias("key")).agg(F.min(row).alias("o"), F.max(row).alias("n"))
+    return x.where("o.name <> n.name").select("binary_id", "key", F.col("o.name").alias("old_name"), F.col("n.name").alias("new_name"))
 
 
 @book.add("j34_json_and_time", "select event_id, json_extract_string(props, '$.k') as k, date_trunc('month', ts) as month, date_diff('day', timestamp '2024-01-01', ts) as days, ts + interval '36 hours' as later from events")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import aggregates, graphs, joins, linking, native, problems, scalars, scans
+from lodestrata.plans import aggregates, graphs, joins, linking, managed, native, problems, scalars, scans
 
-MODULES = [problems, scans, joins, aggregates, graphs, scalars, linking, native]
+MODULES = [problems, scans, joins, aggregates, graphs, scalars, linking, native, managed]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

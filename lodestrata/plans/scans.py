@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions import scalar as S
-from lodestrata.operators.skew import lookup
+from lodestrata.operators.skew import lookup as by_key
 from lodestrata.plans.helpers import Book
 from lodestrata.session import table
 
@@ -61,7 +61,7 @@ def address_domain(spark, sf):
 def duplicates(spark, sf):
     """The smallest id of each content hash, looked up by the hash: no window holds all copies, and a much-copied text meets a broadcast row."""
     keyed = table(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
-    return lookup(keyed, keyed.groupBy("h").agg(F.min("doc_id").alias("duplicate_of")), ["h"]).where("doc_id <> duplicate_of").select("doc_id", "duplicate_of")
+    return by_key(keyed, keyed.groupBy("h").agg(F.min("doc_id").alias("duplicate_of")), ["h"]).where("doc_id <> duplicate_of").select("doc_id", "duplicate_of")
 
 
 @book.add("a46_function_index", "select function_row_id, '0x' || lower(to_hex(address::ubigint)) as address, source_file, line_start, line_end, line_end - line_start + 1 as lines from function_rows where line_start is not null")
@@ -128,7 +128,7 @@ def thunks(spark, sf):
     return r.join(callee, ["binary_id", "address"], "left").where("imported or (size <= 16 and (n is null or (n = 1 and all_imported)))").select("routine_id")
 
 
-@book.add("b24_api_families", "select family, count(distinct binary_id) as binaries, count(*) as rows_n from (select binary_id, case when regexp_matches(name, '(?i)socket|packet|channel') then 'network' when regexp_matches(name, '(?i)thread|lock') then 'threads' when regexp_matches(name, '(?i)file|stream|journal') then 'files' end as family from imports where name is not null) where family is not null group by 1")
+@book.add("b13_api_words", "select family, count(distinct binary_id) as binaries, count(*) as rows_n from (select binary_id, case when regexp_matches(name, '(?i)socket|packet|channel') then 'network' when regexp_matches(name, '(?i)thread|lock') then 'threads' when regexp_matches(name, '(?i)file|stream|journal') then 'files' end as family from imports where name is not null) where family is not null group by 1")
 def api_families(spark, sf):
     """The first matching family counts. Distinct binaries are counted over distinct pairs, which combine map-side."""
     family = F.when(F.col("name").rlike("(?i)socket|packet|channel"), "network").when(F.col("name").rlike("(?i)thread|lock"), "threads").when(F.col("name").rlike("(?i)file|stream|journal"), "files")
