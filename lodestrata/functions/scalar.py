@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -93,23 +94,22 @@ def normal_type(c: Column) -> Column:
     return F.concat(F.coalesce(F.element_at(F.create_map(*[F.lit(y) for kv in aliases.items() for y in kv]), base), base), stars)
 
 
+#: What each piece of a path glob stands for; a class of characters is taken over as it is.
+_GLOB = re.compile(r"(?P<dirs>\*\*/)|(?P<all>\*\*)|(?P<some>\*)|(?P<one>\?)|\[(?P<not>!?)(?P<set>\]?[^\]]*)\]|(?P<plain>.)", re.DOTALL)
+_GLOB_PARTS = {"dirs": "(?:[^/]+/)*", "all": ".*", "some": "[^/]*", "one": "[^/]"}
+
+
 def glob_pattern(pattern: str) -> str:
-    """Anchored regular expression of a path glob: ``*`` and ``?`` stay inside a folder, ``**/`` stands for any number of folders."""
-    import re
-
-    out, i = "", 0
-    while i < len(pattern):
-        if pattern.startswith("**/", i):
-            out, i = out + "(?:[^/]+/)*", i + 3
-        elif pattern.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif pattern[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif pattern[i] == "?":
-            out, i = out + "[^/]", i + 1
-        else:
-            out, i = out + re.escape(pattern[i]), i + 1
-    return f"^{out}$"
+    """Anchored regular expression of a path glob: ``*`` and ``?`` stay inside a folder, ``**/`` stands for any number of folders, ``[a-z]`` and
+    ``[!a-z]`` for one character; a leading ``./`` says nothing."""
+
+    def piece(m: re.Match[str]) -> str:
+        if m["set"] is not None:
+            inside = re.sub(r"([\\\[\]^&])", r"\\\1", m["set"])
+            return f"[{'^/' if m['not'] else ''}{inside}]"
+        return re.escape(m[0]) if m["plain"] else _GLOB_PARTS[m.lastgroup]
+
+    return f"^{_GLOB.sub(piece, pattern.removeprefix('./'))}$"
 
 
 def path_matches(path: Column, patterns: Iterable[str]) -> Column:
@@ -119,12 +119,17 @@ def path_matches(path: Column, patterns: Iterable[str]) -> Column:
 
 
 def search(c: Column, pattern: str) -> Column:
-    """Case-insensitive regular expression; a pattern that doesn't compile is looked for as plain text."""
-    import re
+    """Case-insensitive regular expression; a pattern that doesn't compile is looked for as plain text. The pattern must compile for the engine that
+    runs it: where a session is there, that is asked; forms that only Python knows, as ``(?P<x>..)``, are then text as well."""
+    from pyspark.sql import SparkSession
 
+    spark = SparkSession.getActiveSession()
     try:
-        re.compile(pattern)
-    except re.error:
+        if spark is not None:
+            spark.sparkContext._jvm.java.util.regex.Pattern.compile(f"(?iu){pattern}")
+        else:
+            re.compile(pattern)
+    except Exception:  # either engine's own error
         return F.contains(F.lower(c), F.lit(pattern.lower()))
     return c.rlike(f"(?iu){pattern}")
 

@@ -13,7 +13,7 @@ from lodestrata.sources.formats import classify, link_facts, zip_flavour
 
 #: Folders that hold no programs: version control, caches, earlier output.
 NOISE = r"(?:^|/)(?:\.git|\.hg|\.svn|__pycache__|node_modules|\.cache|[^/]+_decompiler)(?:/|$)"
-FACTS = "path string, image int, format string, arch string, bits int, kind string, image_base decimal(20,0), identity string, libraries array<struct<name:string,kind:string>>, rpaths array<string>, runpaths array<string>, imports array<struct<name:string,library:string,ordinal:int,version:string,weak:boolean>>, exports array<struct<name:string,address:decimal(20,0),ordinal:int,forwarder:string,weak:boolean>>, notes array<string>"
+FACTS = "path string, image int, format string, arch string, bits int, kind string, image_base decimal(20,0), identity string, libraries array<struct<name:string,kind:string>>, rpaths array<string>, runpaths array<string>, imports array<struct<name:string,library:string,ordinal:int,version:string,weak:boolean>>, exports array<struct<name:string,address:decimal(20,0),ordinal:int,forwarder:string,weak:boolean>>, versions array<struct<name:string,version:string,is_default:boolean>>, notes array<string>"
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
@@ -54,6 +54,7 @@ def images(found: DataFrame) -> DataFrame:
                     row["libraries"] = [{"name": n, "kind": x} for n, x in f["libraries"]]
                     row["imports"] = [dict(zip(("name", "library", "ordinal", "version", "weak"), x, strict=True)) for x in f["imports"]]
                     row["exports"] = [dict(zip(("name", "address", "ordinal", "forwarder", "weak"), (x[0], _dec(x[1]), *x[2:]), strict=True)) for x in f["exports"]]
+                    row["versions"] = [dict(zip(("name", "version", "is_default"), x, strict=True)) for x in f["versions"]]
                     row["image_base"] = _dec(f["image_base"])
                     rows.append(row)
             if rows:

@@ -1,7 +1,7 @@
 """Link facts of ELF, PE and Mach-O images, read from the public format specifications.
 
 Every parser gives one dict per image: format, arch, bits, identity, libraries [(name, kind)], rpaths, runpaths, imports [(name, library, ordinal,
-version, weak)], exports [(name, address, ordinal, forwarder, weak)] and notes. Damage ends up in ``notes``; nothing is raised.
+version, weak)], exports [(name, address, ordinal, forwarder, weak)], versions [(name, version, default)] of ELF exports and notes. Damage ends up in ``notes``; nothing is raised.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from typing import Any
 ELF_MACHINES = {3: "x86", 40: "arm", 62: "x86_64", 183: "arm64", 8: "mips", 20: "ppc", 21: "ppc64", 243: "riscv"}
 PE_MACHINES = {0x14C: "x86", 0x8664: "x86_64", 0x1C0: "arm", 0x1C4: "arm", 0xAA64: "arm64"}
 MACHO_CPUS = {7: "x86", 0x01000007: "x86_64", 12: "arm", 0x0100000C: "arm64", 18: "ppc", 0x01000012: "ppc64"}
-DT = {"NEEDED": 1, "STRTAB": 5, "SYMTAB": 6, "STRSZ": 10, "SONAME": 14, "RPATH": 15, "RUNPATH": 29, "HASH": 4, "GNU_HASH": 0x6FFFFEF5, "VERSYM": 0x6FFFFFF0, "VERNEED": 0x6FFFFFFE, "VERNEEDNUM": 0x6FFFFFFF}
+DT = {"NEEDED": 1, "STRTAB": 5, "SYMTAB": 6, "STRSZ": 10, "SONAME": 14, "RPATH": 15, "RUNPATH": 29, "HASH": 4, "GNU_HASH": 0x6FFFFEF5, "VERSYM": 0x6FFFFFF0, "VERNEED": 0x6FFFFFFE, "VERNEEDNUM": 0x6FFFFFFF, "VERDEF": 0x6FFFFFFC, "VERDEFNUM": 0x6FFFFFFD}
 DYLIB_KINDS = {0xC: "needed", 0x80000018: "weak", 0x8000001F: "reexport", 0x20: "lazy", 0x80000023: "upward"}
 MOST_SYMBOLS, MOST_MACHO_SYMBOLS = 2_000_000, 4_000_000
 
@@ -50,7 +50,7 @@ def zip_flavour(data: bytes, name: str = "") -> str:
 
 
 def facts(fmt: str) -> dict[str, Any]:
-    return {"format": fmt, "arch": None, "bits": None, "kind": None, "image_base": None, "identity": None, "libraries": [], "rpaths": [], "runpaths": [], "imports": [], "exports": [], "notes": []}
+    return {"format": fmt, "arch": None, "bits": None, "kind": None, "image_base": None, "identity": None, "libraries": [], "rpaths": [], "runpaths": [], "imports": [], "exports": [], "versions": [], "notes": []}
 
 
 def text_at(data: bytes, at: int) -> str:
@@ -105,8 +105,17 @@ def parse_elf(data: bytes) -> dict[str, Any]:
     out["identity"] = text(one("SONAME")) if one("SONAME") is not None else None
     for name, field in (("RPATH", "rpaths"), ("RUNPATH", "runpaths")):
         out[field] = [p for v in tags.get(DT[name], []) for p in text(v).split(":") if p]
+    try:
+        _elf_symbols(data, out, one, place, text, strings, wide, order, machine)
+    except (struct.error, ValueError, IndexError) as e:
+        out["notes"].append(f"symbols: {e}")
+    return out
+
+
+def _elf_symbols(data: bytes, out: dict[str, Any], one, place, text, strings: int, wide: bool, order: str, machine: int) -> None:
+    """Imports and exports of the dynamic symbol table, with the versions that it needs and defines."""
     if one("SYMTAB") is None:
-        return out
+        return
     symbols, step = place(one("SYMTAB")), 24 if wide else 16
     if one("HASH") is not None:
         n = struct.unpack_from(order + "I", data, place(one("HASH")) + 4)[0]
@@ -125,7 +134,15 @@ def parse_elf(data: bytes) -> dict[str, Any]:
             versions[other & 0x7FFF], owners[other & 0x7FFF] = text(name), text(file)
             a += step_a
         at += nxt
+    at = place(one("VERDEF")) if one("VERDEF") is not None else None
+    for _ in range(one("VERDEFNUM") or 0):
+        _, flags, index, _, _, aux, nxt = struct.unpack_from(order + "HHHHIII", data, at)
+        if not flags & 1:  # the first names the file itself
+            versions[index & 0x7FFF] = text(struct.unpack_from(order + "I", data, at + aux)[0])
+        at += nxt
     versym = place(one("VERSYM")) if one("VERSYM") is not None else None
+    if n > MOST_SYMBOLS:
+        out["notes"].append(f"{n} symbols, the first {MOST_SYMBOLS} were read")
     for k in range(1, min(n, MOST_SYMBOLS)):
         if wide:
             name, info, other, shndx, value, _ = struct.unpack_from(order + "IBBHQQ", data, symbols + k * step)
@@ -134,13 +151,15 @@ def parse_elf(data: bytes) -> dict[str, Any]:
         bind, hidden = info >> 4, other & 3 in (1, 2)
         if not name or bind not in (1, 2, 10):
             continue
-        v = struct.unpack_from(order + "H", data, versym + 2 * k)[0] & 0x7FFF if versym is not None else 0
+        raw = struct.unpack_from(order + "H", data, versym + 2 * k)[0] if versym is not None else 0
+        v = raw & 0x7FFF
         if shndx == 0:
             out["imports"].append((text(name), owners.get(v), None, versions.get(v), bind == 2))
         elif not hidden:
             thumb = 1 if machine == 40 and info & 15 == 2 else 0
             out["exports"].append((text(name), value & ~thumb, None, None, bind == 2))
-    return out
+            if versions.get(v):
+                out["versions"].append((text(name), versions[v], not raw & 0x8000))
 
 
 def _gnu_count(data: bytes, at: int, wide: bool, order: str) -> int:
@@ -244,7 +263,7 @@ def parse_macho(data: bytes, at: int = 0) -> dict[str, Any]:
     magic, cpu, _, kind, ncmds, _, _ = struct.unpack_from(order + "7I", data, at)
     wide = magic == 0xFEEDFACF
     out |= {"arch": MACHO_CPUS.get(cpu, f"cpu_{cpu:#x}"), "bits": 64 if wide else 32, "kind": {2: "executable", 6: "library", 8: "bundle"}.get(kind, "object")}
-    p, symtab, trie, base = at + (32 if wide else 28), None, None, 0
+    p, symtab, trie, base, bind, chained = at + (32 if wide else 28), None, None, 0, None, None
     for _ in range(ncmds):
         cmd, size = struct.unpack_from(order + "II", data, p)
         if size < 8:
@@ -264,6 +283,9 @@ def parse_macho(data: bytes, at: int = 0) -> dict[str, Any]:
             symtab = struct.unpack_from(order + "4I", data, p + 8)
         elif cmd in (0x22, 0x80000022):
             trie = struct.unpack_from(order + "II", data, p + 40)
+            bind = struct.unpack_from(order + "II", data, p + 16), struct.unpack_from(order + "II", data, p + 32)
+        elif cmd == 0x80000034:
+            chained = struct.unpack_from(order + "II", data, p + 8)
         elif cmd == 0x80000033:
             trie = struct.unpack_from(order + "II", data, p + 8)
         elif cmd in (1, 0x19) and data[p + 8 : p + 24].rstrip(b"\0") == b"__TEXT":
@@ -275,6 +297,21 @@ def parse_macho(data: bytes, at: int = 0) -> dict[str, Any]:
             out["exports"] = export_trie(data[at + trie[0] : at + sum(trie)], base)
         except (ValueError, IndexError) as e:
             out["notes"].append(f"export trie: {e}")
+    known: set[str] = set()
+
+    def take(rows: list[tuple[str, int, bool]]) -> None:
+        for name, ordinal, weak in rows:
+            if name not in known:
+                known.add(name)
+                out["imports"].append((name, out["libraries"][ordinal - 1][0] if 0 < ordinal <= len(out["libraries"]) else None, None, None, weak))
+
+    parts = [("chained imports", chained, lambda x: chained_imports(x, order))] + [(what, span, lambda x, lazy=lazy: bound_symbols(x, lazy)) for what, span, lazy in (("binds", bind and bind[0], False), ("lazy binds", bind and bind[1], True))]
+    for what, span, read in parts:
+        if span and span[1]:
+            try:
+                take(read(data[at + span[0] : at + sum(span)]))
+            except (struct.error, ValueError, IndexError) as e:
+                out["notes"].append(f"{what}: {e}")
     if symtab:
         off, n, strings, _ = symtab
         if n > MOST_MACHO_SYMBOLS:
@@ -285,54 +322,103 @@ def parse_macho(data: bytes, at: int = 0) -> dict[str, Any]:
                 continue
             text = text_at(data, at + strings + name)
             if kind & 0xE == 0:
-                ordinal = desc >> 8
-                lib = out["libraries"][ordinal - 1][0] if 0 < ordinal <= len(out["libraries"]) else None
-                out["imports"].append((text, lib, None, None, bool(desc & 0x40)))
+                take([(text, desc >> 8, bool(desc & 0x40))])
             elif not trie or not trie[1]:
                 out["exports"].append((text, value, None, None, bool(desc & 0x80)))
     return out
 
 
-def export_trie(trie: bytes, base: int, most: int = 4_000_000) -> list[tuple[str, int | None, None, str | None, bool]]:
-    """Symbols of a prefix trie, depth first."""
+def uleb(data: bytes, i: int) -> tuple[int, int]:
+    """(value, next place) of an unsigned LEB128 number."""
+    v = shift = 0
+    while True:
+        b = data[i]
+        v |= (b & 127) << shift
+        i, shift = i + 1, shift + 7
+        if b < 128:
+            return v, i
 
-    def uleb(i: int) -> tuple[int, int]:
-        v = shift = 0
-        while True:
-            b = trie[i]
-            v |= (b & 127) << shift
-            i, shift = i + 1, shift + 7
-            if b < 128:
-                return v, i
 
-    out, stack, seen = [], [(0, b"")], 0
+def export_trie(trie: bytes, base: int, most: int = 4_000_000) -> list[tuple[str, int | None, int | None, str | None, bool]]:
+    """Symbols of a prefix trie, depth first. Re-exports have no address but the ordinal of their library and the name they have there; absolute
+    symbols don't move with the image. A node is read once, so a trie that leads back to itself ends."""
+    out, stack, seen = [], [(0, b"")], set()
     while stack:
-        seen += 1
-        if seen > most:
-            raise ValueError("too many nodes")
         at, prefix = stack.pop()
-        size, i = uleb(at)
+        if at in seen:
+            continue
+        seen.add(at)
+        if len(seen) > most:
+            raise ValueError("too many nodes")
+        size, i = uleb(trie, at)
         if size:
-            flags, j = uleb(i)
-            if flags & 8:  # re-export: ordinal and the name it has there
-                _, j = uleb(j)
-                end = trie.index(b"\0", j)
-                out.append((prefix.decode("utf-8", "replace"), None, None, trie[j:end].decode("utf-8", "replace") or prefix.decode("utf-8", "replace"), bool(flags & 4)))
+            flags, j = uleb(trie, i)
+            name = prefix.decode("utf-8", "replace")
+            if flags & 8:
+                ordinal, j = uleb(trie, j)
+                out.append((name, None, ordinal, trie[j : trie.index(b"\0", j)].decode("utf-8", "replace") or name, bool(flags & 4)))
             else:
-                out.append((prefix.decode("utf-8", "replace"), base + uleb(j)[0], None, None, bool(flags & 4)))
+                out.append((name, uleb(trie, j)[0] + (0 if flags & 3 == 2 else base), None, None, bool(flags & 4)))
         i += size
-        edges = trie[i]
-        i += 1
         below = []
-        for _ in range(edges):
-            end = trie.index(b"\0", i)
-            child, nxt = uleb(end + 1)
-            below.append((child, prefix + trie[i:end]))
-            i = nxt
+        for _ in range(trie[i]):
+            end = trie.index(b"\0", i + 1)
+            child, nxt = uleb(trie, end + 1)
+            below.append((child, prefix + trie[i + 1 : end]))
+            i = nxt - 1
         stack += reversed(below)
     return out
 
 
+def chained_imports(data: bytes, order: str) -> list[tuple[str, int, bool]]:
+    """(name, library ordinal, weak) of the import table of chained fixups; special ordinals are negative."""
+    _, _, imports, symbols, count, form, packed = struct.unpack_from(order + "7I", data, 0)
+    if packed:
+        raise ValueError("compressed symbol names")
+    out = []
+    step = {1: 4, 2: 8, 3: 16}.get(form)
+    if step is None:
+        raise ValueError(f"import format {form}")
+    for k in range(min(count, MOST_MACHO_SYMBOLS)):
+        if form == 3:
+            v = struct.unpack_from(order + "Q", data, imports + k * step)[0]
+            ordinal, weak, name, top = v & 0xFFFF, v >> 16 & 1, v >> 32, 0x10000
+        else:
+            v = struct.unpack_from(order + "I", data, imports + k * step)[0]
+            ordinal, weak, name, top = v & 0xFF, v >> 8 & 1, v >> 9, 0x100
+        out.append((text_at(data, symbols + name), ordinal if ordinal < top - 16 else ordinal - top, bool(weak)))
+    return out
+
+
+def bound_symbols(code: bytes, lazy: bool = False) -> list[tuple[str, int, bool]]:
+    """(name, library ordinal, weak) of each symbol that a program of bind opcodes binds, once, in order. Only the opcodes that choose a library or a
+    symbol, or bind, matter; the others are skipped with their operands. Lazy programs have an end after each symbol."""
+    operands = {0x2: 1, 0x6: 1, 0x7: 1, 0x8: 1, 0xA: 1, 0xC: 2}  # opcode: number of LEB128 operands
+    out: dict[tuple[str, int, bool], None] = {}
+    i, ordinal, name, weak = 0, 0, "", False
+    while i < len(code):
+        op, low = code[i] >> 4, code[i] & 15
+        i += 1
+        values = []
+        if op == 0x4:
+            end = code.index(b"\0", i)
+            name, weak, i = code[i:end].decode("utf-8", "replace"), bool(low & 1), end + 1
+        for _ in range(operands.get(op, 0)):
+            v, i = uleb(code, i)
+            values.append(v)
+        if op == 0x0 and not lazy:
+            break
+        if op == 0x1:
+            ordinal = low
+        elif op == 0x2:
+            ordinal = values[0]
+        elif op == 0x3:
+            ordinal = low - 16 if low else 0
+        elif op in (0x9, 0xA, 0xB, 0xC) and name:
+            out[name, ordinal, weak] = None
+    return list(out)
+
+
 def slices(data: bytes) -> list[int]:
     """Offsets of the images of a fat file."""
     n = struct.unpack_from(">I", data, 4)[0]
