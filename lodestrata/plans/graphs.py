@@ -121,19 +121,37 @@ def member_preorder(spark, sf):
     return preorder(chunked(members), call_edges(spark, sf))
 
 
-@book.add("f7_coalesced", None)
+_FOLD = """recursive c as (select binary_id, source_file, count(*) as members, sum(greatest(size, 1)) as bytes, min(routine_id) as pos from routines where source_file is not null group by 1, 2),
+o as (select *, row_number() over (partition by binary_id order by pos) as k from c),
+w(binary_id, k, pos, first, members, bytes, is_open) as (select binary_id, k, pos, pos, members, bytes, members <= 2 and bytes <= 128 from o where k = 1
+union all select o.binary_id, o.k, o.pos, case when j then w.first else o.pos end, case when j then w.members + o.members else o.members end, case when j then w.bytes + o.bytes else o.bytes end, o.members <= 2 and o.bytes <= 128 from w join o on o.binary_id = w.binary_id and o.k = w.k + 1, lateral (select w.is_open and o.members <= 2 and o.bytes <= 128 and w.members + o.members <= 12 and w.bytes + o.bytes <= 2048 as j))"""
+
+
+@book.add("f7_coalesced", f"with {_FOLD} select binary_id::varchar as group_key, pos, first as merged_pos from w")
 def coalesced(spark, sf):
     """Adjacent small source files of a folder merged."""
     c = table(spark, sf, "routines").where("source_file is not null").groupBy("binary_id", "source_file").agg(F.count(F.lit(1)).alias("members"), F.sum(F.greatest("size", F.lit(1))).alias("bytes"), F.min("routine_id").alias("pos"))
     return coalesce_small(c.withColumn("group_key", F.col("binary_id").cast("string")))
 
 
-@book.add("f9_unique_names", None)
+_CLAIMS = """q as (select binary_id as scope, routine_id as id, case when imported then 1 else 0 end as prio, coalesce(name, 'unnamed') as name from routines),
+u1 as (select * from q qualify row_number() over (partition by scope, name order by prio, id) = 1), r1 as (select *, name || '_' || id as want from q where id not in (select id from u1)),
+u2 as (select * from r1 where (scope, want) not in (select scope, name from u1))"""
+
+
+@book.add("f9_unique_names", f"with {_CLAIMS} select scope, id, name, name as unique_name from u1 union all select scope, id, name, want from u2 union all select scope, id, name, want || '_dup' from r1 where id not in (select id from u2)")
 def unique(spark, sf):
     return unique_names(table(spark, sf, "routines").select(F.col("binary_id").alias("scope"), F.col("routine_id").alias("id"), F.when(F.col("imported"), 1).otherwise(0).alias("prio"), "name"))
 
 
-@book.add("f10_placement", None)
+_PLACED = f"""{_EDGES}, m as (select routine_id as v, binary_id || ':' || source_file as cluster from routines where source_file is not null), a as (select routine_id as v from routines where source_file is null),
+near as (select distinct v, n, side from (select dst as v, src as n, 0 as side from edges union all select src, dst, 1 from edges) where v in (select v from a)),
+p1 as (select near.v, arg_min(m.cluster, (side, near.n, m.cluster)) as cluster from near join m on m.v = near.n group by 1), k1 as (select * from m union all select * from p1),
+p2 as (select near.v, arg_min(k1.cluster, (side, near.n, k1.cluster)) as cluster from near join k1 on k1.v = near.n where near.v not in (select v from p1) group by 1), k2 as (select * from k1 union all select * from p2),
+p3 as (select near.v, arg_min(k2.cluster, (side, near.n, k2.cluster)) as cluster from near join k2 on k2.v = near.n where near.v not in (select v from p1) and near.v not in (select v from p2) group by 1), p as (select * from p1 union all select * from p2 union all select * from p3)"""
+
+
+@book.add("f10_placement", f"with {_PLACED} select a.v, coalesce(p.cluster, 'discovered') as cluster from a left join p on p.v = a.v")
 def placement(spark, sf):
     """Routines without a source file placed with the first neighbour that has one."""
     r = table(spark, sf, "routines")

@@ -51,7 +51,10 @@ def summary_counts(spark, sf):
     return table(spark, sf, "renders").where("summary_text is not null").select("render_id", F.regexp_extract("summary_text", "([0-9]+) callers", 1).try_cast("bigint").alias("callers"))
 
 
-@book.add("j21_normal_types", None)
+_ALIASES = "case b when 'unsigned int' then 'u32' when 'uint32_t' then 'u32' when '_dword' then 'u32' when 'dword' then 'u32' when 'uint16_t' then 'u16' when '_word' then 'u16' when '__int64' then 'i64' when 'int64_t' then 'i64' when 'size_t' then 'u64' when 'uint64_t' then 'u64' when '_qword' then 'u64' when 'int' then 'i32' when 'int32_t' then 'i32' when '_bool8' then 'bool' when 'bool' then 'bool' when 'uint8_t' then 'u8' when '_byte' then 'u8' when 'unsigned char' then 'u8' else b end"
+
+
+@book.add("j21_normal_types", rf"with x as (select trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(return_type, '\b(?:const|volatile|struct|enum|union|register|restrict)\b', ' ', 'g'))), '\s+', ' ', 'g'), '\s*\*\s*', '*', 'g')) as t from routines where return_type is not null), y as (select trim(regexp_replace(t, '\*+$', '')) as b, regexp_extract(t, '(\**)$', 1) as stars from x) select {_ALIASES} || stars as normal_type, count(*) as n from y group by 1")
 def normal_types(spark, sf):
     """Return types and how often each occurs in normal form."""
     return table(spark, sf, "routines").where("return_type is not null").groupBy(S.normal_type(F.col("return_type")).alias("normal_type")).agg(F.count(F.lit(1)).alias("n"))
