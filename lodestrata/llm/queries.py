@@ -12,7 +12,7 @@ from lodestrata.llm.neardup import expand, similar_classes
 from lodestrata.llm.packing import fill, pack
 from lodestrata.llm.spam import spam_scores
 from lodestrata.operators.components import connected_components
-from lodestrata.session import table
+from lodestrata.session import cut, table
 
 
 def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,19 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill(p6_pack_512(spark, sf_dir), 512).withColumn("capacity", F.lit(512)).unionByName(fill(p6_pack_2048(spark, sf_dir), 2048).withColumn("capacity", F.lit(2048)))
 
 
+def p6_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: documents placed, containers over the capacity, and documents in several pieces though they would fit whole."""
+    out = None
+    for capacity in (512, 2048):
+        placed = cut(pack(table(spark, sf_dir, "documents"), capacity).select("doc_id", "container", "n_tokens"))
+        over = placed.groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > capacity).alias("overfull")).withColumn("capacity", F.lit(capacity))
+        each = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"))
+        docs = each.agg(F.count(F.lit(1)).alias("docs"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= capacity)).alias("split_short")).withColumn("capacity", F.lit(capacity))
+        row = docs.join(over, "capacity").select("capacity", "docs", "overfull", "split_short")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of stuffed text and perplexity of each document."""
     return spam_scores(table(spark, sf_dir, "documents"))
@@ -104,7 +117,7 @@ pg as (select distinct item_id, array_to_string(w[k:k+12], ' ') as g from (selec
 hit as (select distinct doc_id, item_id from dg join pg using (g))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_items": p7_items, "p6_pack_512": p6_pack_512, "p6_pack_2048": p6_pack_2048, "p6_fill": p6_fill, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_groups": p3_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_items": p7_items, "p6_pack_512": p6_pack_512, "p6_pack_2048": p6_pack_2048, "p6_fill": p6_fill, "p6_conservation": p6_conservation, "p8_found": p8_found, "p8_scores": p8_scores}
 _SETS = """
 words as (select render_id, 'c' as field, list_filter(regexp_extract_all(lower(c_text), '[a-z0-9_]+'), lambda x: not regexp_matches(x, '^[0-9]')) as w from renders where c_text is not null
 union all select render_id, 'a', list_filter(regexp_extract_all(lower(asm_text), '[a-z0-9_]+'), lambda x: not regexp_matches(x, '^[0-9]')) from renders where asm_text is not null),
@@ -113,7 +126,16 @@ n as (select render_id, field, count(*) as n from g group by all),
 i as (select x.field, x.render_id as a, y.render_id as b, count(*) as c from g x join g y on x.field = y.field and x.s = y.s and x.render_id < y.render_id group by all)
 """
 
+#: Classes of equal sets, links between their first members and to their copies, and components of these links.
+_GROUPS = f"""recursive {_SETS}, k as (select render_id, field, md5(string_agg(s, chr(10) order by s)) as class from g group by all), r as (select field, class, min(render_id) as rep from k group by all),
+near as (select i.field, i.a, i.b from i join n x on x.render_id = i.a and x.field = i.field join n y on y.render_id = i.b and y.field = i.field where i.c * 5 >= 3 * (x.n + y.n - i.c)),
+l as (select distinct least(ra.rep, rb.rep) as a, greatest(ra.rep, rb.rep) as b from near join k ka on ka.render_id = near.a and ka.field = near.field join r ra on ra.field = ka.field and ra.class = ka.class join k kb on kb.render_id = near.b and kb.field = near.field join r rb on rb.field = kb.field and rb.class = kb.class where ra.rep <> rb.rep
+union select r.rep, k.render_id from k join r on r.field = k.field and r.class = k.class where k.render_id <> r.rep),
+e as (select a, b from l union select b, a from l), walk(v, c) as (select distinct a, a from e union select w.v, e.b from walk w join e on e.a = w.c), ends as (select a as v, count(*) as links from e group by 1)"""
+
 ORACLE = {
+    "p6_conservation": "select unnest([512, 2048]) as capacity, (select count(distinct doc_id) from documents where text <> '') as docs, 0 as overfull, 0 as split_short",
+    "p3_groups": f"with {_GROUPS} select w.v as render_id, min(w.c) as group_id, any_value(ends.links) as links from walk w join ends on ends.v = w.v group by 1",
     "p3_found": f"with {_SETS} select distinct a as render_id_a, b as render_id_b from i join n x on x.render_id = a and x.field = i.field join n y on y.render_id = b and y.field = i.field where c * 5 >= 3 * (x.n + y.n - c)",
     "p7_found": f"with {_WINDOWS} select doc_id, item_id from hit",
     "p7_items": f"with {_WINDOWS} select item_id, count(*) as docs from hit group by 1",
