@@ -129,6 +129,17 @@ def windows(spark, sf):
     return table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start_at"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@book.add("k15_stream_windows", "select time_bucket(interval '1 hour', ts) as start_at, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def stream_windows(spark, sf):
+    """The same windows from a stream over the events, with a watermark; all that the source holds now is read."""
+    from lodestrata.streaming.windows import drained, tumbling
+
+    read = table(spark, sf, "events")
+    source = spark.readStream.schema(read.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+    got = drained(spark, tumbling(source.withColumn("ts", F.col("ts").cast("timestamp"))))
+    return got.select(F.col("start_at").cast("timestamp_ntz").alias("start_at"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 @book.add("k15_sessions", "with g as (select user_id, ts, event_id, case when ts - lag(ts) over w <= interval '30 minutes' then 0 else 1 end as fresh from events window w as (partition by user_id order by ts, event_id)), s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts, event_id) as k from g) select user_id, min(ts) as start_at, count(*) as n from s group by user_id, k")
 def sessions(spark, sf):
     """Sessions of a user: events at most 30 minutes apart."""
