@@ -125,13 +125,23 @@ def path_lookup(spark, sf):
     return f.join(exact, "p", "left").join(folded, "lp", "left").select("function_row_id", F.coalesce("a", "b").alias("file_id"))
 
 
-@book.add("c30_delta_choice", "with d as (select f.binary_id, f.address - r.address as delta, count(*) as votes from function_rows f join routines r on r.binary_id = f.binary_id and r.name = f.name group by 1, 2) select binary_id, cast(delta as bigint) as delta, votes from d qualify row_number() over (partition by binary_id order by votes desc, delta = 0 desc, delta) = 1")
+_FEW = "f as (select binary_id, name, address from function_rows qualify count(*) over (partition by binary_id, name) <= 4), r as (select binary_id, name, address from routines qualify count(*) over (partition by binary_id, name) <= 4)"
+
+
+@book.add("c30_delta_choice", f"with {_FEW}, d as (select f.binary_id, f.address - r.address as delta, count(*) as votes from f join r on r.binary_id = f.binary_id and r.name = f.name group by 1, 2 having count(*) >= 3), b as (select binary_id, cast(delta as bigint) as delta, votes from d qualify row_number() over (partition by binary_id order by votes desc, delta = 0 desc, delta) = 1) select x.binary_id, coalesce(b.delta, 0) as delta, coalesce(b.votes, 0) as votes, b.delta is not null as confirmed from (select distinct binary_id from function_rows) x left join b using (binary_id)")
 def delta_choice(spark, sf):
-    """The most confirmed shift between two inventories of a binary; no shift wins ties, then the smallest."""
-    f, r = table(spark, sf, "function_rows").select("binary_id", "name", F.col("address").alias("a")), table(spark, sf, "routines").select("binary_id", "name", F.col("address").alias("b"))
-    votes = f.join(r, ["binary_id", "name"]).groupBy("binary_id", (F.col("a") - F.col("b")).alias("delta")).agg(F.count(F.lit(1)).alias("votes"))
+    """The most confirmed shift between two inventories of a binary: by names on at most four rows of either, with three votes or more; no shift wins
+    ties, then the smallest; without any such shift none is assumed, unconfirmed. The limits keep equal names from multiplying."""
+
+    def side(name, at):
+        t = table(spark, sf, name).where("name is not null").groupBy("binary_id", "name").agg(F.count(F.lit(1)).alias("n"))
+        few = t.where("n <= 4").select("binary_id", "name")
+        return table(spark, sf, name).select("binary_id", "name", F.col("address").alias(at)).join(few, ["binary_id", "name"], "left_semi")
+
+    votes = side("function_rows", "a").join(side("routines", "b"), ["binary_id", "name"]).groupBy("binary_id", (F.col("a") - F.col("b")).alias("delta")).agg(F.count(F.lit(1)).alias("votes")).where("votes >= 3")
     best = votes.groupBy("binary_id").agg(F.max(F.struct("votes", (F.col("delta") == 0).alias("none"), (-F.col("delta")).alias("minus"))).alias("x"))
-    return best.select("binary_id", (-F.col("x.minus")).cast("bigint").alias("delta"), "x.votes")
+    every = table(spark, sf, "function_rows").select("binary_id").distinct().join(best, "binary_id", "left")
+    return every.select("binary_id", F.coalesce((-F.col("x.minus")).cast("bigint"), F.lit(0)).alias("delta"), F.coalesce("x.votes", F.lit(0)).alias("votes"), F.col("x").isNotNull().alias("confirmed"))
 
 
 _KEY = r"case when regexp_replace(regexp_replace(regexp_replace(name, '@.*$', '', 's'), '^(?:sym\.imp\.|loc\.imp\.|sym\.|imp\.|__imp_)+', ''), '^_+', '') = '' then regexp_replace(regexp_replace(name, '@.*$', '', 's'), '^(?:sym\.imp\.|loc\.imp\.|sym\.|imp\.|__imp_)+', '') else regexp_replace(regexp_replace(regexp_replace(name, '@.*$', '', 's'), '^(?:sym\.imp\.|loc\.imp\.|sym\.|imp\.|__imp_)+', ''), '^_+', '') end"

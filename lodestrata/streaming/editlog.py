@@ -40,11 +40,13 @@ def replay(spark: SparkSession, log_dir: str, state_dir: str) -> int:
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{state_dir}/log/batch={n}")
+        # The batch's own mark, so that no later call reads the log for it.
+        batch.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("bigint").alias("seq")).write.mode("overwrite").parquet(f"{state_dir}/marks/batch={n}")
 
     q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{state_dir}/cursor").trigger(availableNow=True).start()
     q.awaitTermination()
     try:
-        return spark.read.parquet(f"{state_dir}/log").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        return spark.read.parquet(f"{state_dir}/marks").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
     except Exception as e:  # no file has come yet
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return 0
