@@ -1,8 +1,8 @@
 """Texts decoded with the wrong character encoding, and their repair.
 
 1. Words with non-ASCII characters are counted over all distinct texts.
-2. Each word is joined with more frequent near-twins: words that are equal once the non-ASCII characters are stripped. Aligning the characters of a
-   pair shows which transformation (text encoded as E, decoded as D) turns the frequent word into the rare one; words without ASCII letters are paired
+2. Each word is joined with all more frequent near-twins: words that are equal once the non-ASCII characters are stripped, and whose bytes in some
+   encoding are its own in another. Aligning the characters of a pair shows which transformation (text encoded as E, decoded as D) turns the frequent word into the rare one; words without ASCII letters are paired
    with the frequent words that a transformation turns into them. Transformations with enough distinct pairs are learned.
 3. The learned transformations are applied, also repeatedly, to every word; the readings are joined with the counts of all words, and one that the
    corpus knows much better than the word itself replaces it. Sequences inside words are mapped likewise, so words glued to identifiers are restored.
@@ -38,7 +38,7 @@ KNOWN_SHARE = 1 / 3
 WORD_SHARE = 1 / 2
 #: Distinct twin pairs that make a transformation learned.
 SUPPORT = 3
-LEAST_SKELETON, TWIN_PARTS = 2, 16
+LEAST_SKELETON = 2
 HEAVY_PARTS = 64
 _SPACE = re.compile(r"([ \t\r\n]+)")
 _PARTS = re.compile(r"( — | / |: |[\r\n]+)")
@@ -177,15 +177,24 @@ def _store(s: str) -> str:
 
 
 def twins(words: DataFrame) -> DataFrame:
-    """garbled, clean: pairs of words with the same skeleton of which one is much more frequent. ``words``: item, n.
+    """garbled, clean: all pairs of words with the same skeleton of which one is much more frequent and that are the same bytes in two encodings.
+    ``words``: item, n.
 
-    The clean side is reduced first: of each skeleton the most frequent word in each of TWIN_PARTS hash classes. So a short skeleton that very many
-    words share gives a fixed number of partners, by partial maxima; the pairs only teach transformations, which are then applied to every word.
+    All encodings keep ASCII, so what ``align`` explains are words whose bytes, in whole, are equal. Each word gives its different byte forms (of at
+    most as many encodings as there are), and words meet by skeleton and form. A form is the bytes of hardly more words than there are encodings, so
+    no key is hot, however many words share a skeleton, and no partner has to be left out.
     """
+
+    def forms(cols: dict[str, list]) -> Iterator[tuple]:
+        for w, skeleton, n in zip(cols["item"], cols["skeleton"], cols["n"], strict=True):
+            for raw in {raw for c in SINGLE + MULTI if (raw := to_bytes(w, c)) is not None and not raw.isascii()}:
+                yield skeleton, raw, w, n
+
     keyed = words.withColumn("skeleton", F.lower(F.regexp_replace("item", "[^A-Za-z0-9]", ""))).where(F.length("skeleton") >= LEAST_SKELETON)
-    clean = keyed.where(F.col("n") >= LEAST).groupBy("skeleton", F.pmod(F.xxhash64("item"), F.lit(TWIN_PARTS)).alias("k")).agg(F.max(F.struct("n", "item")).alias("x")).select("skeleton", F.col("x.item").alias("clean"), F.col("x.n").alias("nc"))
-    rare = keyed.select("skeleton", F.col("item").alias("garbled"), F.col("n").alias("ng"))
-    return rare.join(clean, "skeleton").where((F.col("nc") >= F.col("ng") * RATIO) & (F.col("garbled") != F.col("clean"))).select("garbled", "clean")
+    formed = keyed.mapInArrow(_per_row(forms, ["skeleton", "raw", "item", "n"], [pa.string(), pa.binary(), pa.string(), pa.int64()]), "skeleton string, raw binary, item string, n bigint")
+    met = formed.groupBy("skeleton", "raw").agg(F.collect_list(F.struct("item", "n")).alias("ws")).where(F.size("ws") > 1)
+    pairs = met.select(F.explode("ws").alias("g"), "ws").select("g", F.explode("ws").alias("c"))
+    return pairs.where((F.col("c.n") >= LEAST) & (F.col("c.n") >= F.col("g.n") * RATIO) & (F.col("g.item") != F.col("c.item"))).select(F.col("g.item").alias("garbled"), F.col("c.item").alias("clean")).distinct()
 
 
 def align(garbled: str, clean: str) -> list[tuple[str, str]]:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm.credentials import Finder, Segmenter, secrets
-from lodestrata.llm.encoding import Repairer, garbled, tokens_of, undo, word_repairs
+from lodestrata.llm.encoding import Repairer, align, garbled, tokens_of, twins, undo, word_repairs
 from lodestrata.llm.leakage import leaks
 from lodestrata.llm.neardup import MinMax, expand, shingles, similar_classes
 from lodestrata.llm.packing import Slots, encoding, pack, plan
@@ -83,6 +83,16 @@ def test_cut_off_word(spark):
     assert r.repair("so ungÃ¼lti", {}, "ungülti") == ("so ungülti", True)
 
 
+def test_twins_of_a_crowded_skeleton_are_all_met(spark):
+    """Sixty frequent words share one skeleton; each garbled one has its twin among them, and no other pair explains anything."""
+    clean = [f"n{a}o{b}" for a in "áàâãäåæçèé" for b in "êëìíîï"]
+    garbled_ = [bad(w, "utf-8", "cp1252") for w in clean if "\ufffd" not in bad(w, "utf-8", "cp1252")]
+    counts = [(w, 100 + i) for i, w in enumerate(clean)] + [(w, 1) for w in garbled_]
+    got = {(r.garbled, r.clean) for r in twins(spark.createDataFrame(counts, "item string, n bigint")).collect()}
+    assert {(bad(w, "utf-8", "cp1252"), w) for w in clean if "\ufffd" not in bad(w, "utf-8", "cp1252")} <= got
+    assert {p for p in got if align(*p)} == {(g, c) for g, n in counts for c, m in counts if g != c and m >= 3 * n and m >= 3 and align(g, c)}
+
+
 SIGNS = ["╔════╗", "▒▒▒", "→ ← ↑ ↓", "■□■□", "★★★☆☆", "🎉🎉 🚀", "「」、。・", "── │ ──", "…—…", "∑∏∫≤≥", "①②③", "ไทย ไทย", "中文字符", "日本語のテキスト", "한국어 문장", "שלום עולם"]
 
 
