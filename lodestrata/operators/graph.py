@@ -37,7 +37,7 @@ def trim(edges: DataFrame, rounds: int = 2) -> DataFrame:
     """Edges without some that can't lie on a cycle: those at nodes with no way in or no way out, a few times over. What is left need not all lie on cycles."""
     for _ in range(rounds):
         alive = edges.select(F.col("src").alias("v")).intersect(edges.select(F.col("dst").alias("v")))
-        edges = edges.join(alive.select(F.col("v").alias("src")), "src", "left_semi").join(alive.select(F.col("v").alias("dst")), "dst", "left_semi").select("src", "dst")
+        edges = edges.join(alive.select(F.col("v").alias("src")), "src", "left_semi").join(alive.select(F.col("v").alias("dst")), "dst", "left_semi").select(*edges.columns)
     return cut(edges)
 
 
@@ -90,20 +90,27 @@ def strong_components(edges: DataFrame, part: str | None = None, local: int = LO
     ``edges``: src, dst and, if the graph falls into parts that no edge connects (binaries), the column ``part``. Parts of at most ``local`` edges are
     each searched in one call, in parallel; all larger ones together by rounds of joins (and everything, where no part is named): every node learns
     the smallest node that reaches it and the smallest it reaches; where both are the same the node belongs to that node's component, and among
-    nodes that agree in both, which the other components don't leave, the search goes on. Nodes outside are components of their own and aren't
-    listed. Self links, nulls and repeated edges are ignored. Raises if rounds run out.
+    nodes that agree in both, which the other components don't leave, the search goes on. Parts of which at most ``local`` edges are left, as most
+    are once ends are trimmed and their largest component is found, are finished in one call each. Nodes outside are components of their own and
+    aren't listed. Self links, nulls and repeated edges are ignored. Raises if rounds run out.
     """
     ends = [F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")]
     edges = cut(edges.select(*ends, *([F.col(part).alias("_part")] if part else [])).where("src <> dst").distinct())
     done = []
-    if part:
-        sizes = edges.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+
+    def larger(edges: DataFrame) -> DataFrame:
+        """Edges of the parts too large for one call; those of the others are taken care of."""
+        if not part or edges.isEmpty():
+            return edges
+        sizes = cut(edges.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")))
         small = edges.join(sizes.where(F.col("_n") <= local).select("_part"), "_part", "left_semi")
         done.append(small.groupBy("_part").applyInPandas(_components_of, "v bigint, component bigint"))
-        edges = cut(edges.join(sizes.where(F.col("_n") > local).select("_part"), "_part", "left_semi"))
-    edges = edges.select("src", "dst")
+        large = sizes.where(F.col("_n") > local).select("_part")
+        return edges.limit(0) if large.isEmpty() else cut(edges.join(large, "_part", "left_semi"))
+
+    edges = larger(edges)
     for _ in range(max_rounds):
-        edges = trim(edges)
+        edges = edges if edges.isEmpty() else larger(trim(edges))
         if edges.isEmpty():
             break
         state = cut(edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct().select("v", F.col("v").alias("f"), F.col("v").alias("b"), F.lit(True).alias("mf"), F.lit(True).alias("mb")))
@@ -119,7 +126,7 @@ def strong_components(edges: DataFrame, part: str | None = None, local: int = LO
         done.append(state.where("f = b").select("v", F.col("f").alias("component")))
         rest = state.where("f <> b").select("v", "f", "b")
         src, dst = rest.select(F.col("v").alias("src"), F.col("f").alias("fs"), F.col("b").alias("bs")), rest.select(F.col("v").alias("dst"), F.col("f").alias("fd"), F.col("b").alias("bd"))
-        edges = edges.join(src, "src").join(dst, "dst").where("fs = fd and bs = bd").select("src", "dst")
+        edges = edges.join(src, "src").join(dst, "dst").where("fs = fd and bs = bd").select(*edges.columns)
     else:
         raise RuntimeError("strong components: rounds ran out")
     if not done:

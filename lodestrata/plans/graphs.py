@@ -69,8 +69,8 @@ def components(spark, sf):
 
 @book.add("e7_cycles", f"with {_SCC} select component, count(*) as members, max(routine_id) as largest from scc group by 1")
 def cycles(spark, sf):
-    """Size of each cycle group, found by rounds of joins over the whole graph as for parts of any size."""
-    return strong_components(call_edges(spark, sf)).groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.max("v").alias("largest"))
+    """Size of each cycle group. Calls never leave a binary, so each is searched by itself; only those too large for one call take rounds of joins."""
+    return strong_components(call_edges(spark, sf), "binary_id").groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.max("v").alias("largest"))
 
 
 def label_clusters(edges: DataFrame, nodes: DataFrame, max_rounds: int = 10_000) -> DataFrame:

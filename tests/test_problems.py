@@ -3,12 +3,13 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.operators import graph
 from lodestrata.operators.components import connected_components
 from lodestrata.operators.graph import reach, strong_components
 from lodestrata.operators.orphans import orphan_references
 from lodestrata.operators.ranges import asof_join, interval_join
 from lodestrata.operators.skew import heavy_keys, salted_aggregate, salted_count_distinct
-from lodestrata.plans.graphs import label_clusters
+from lodestrata.plans.graphs import components, cycles, label_clusters
 
 T = lambda d: dt.datetime(2025, 1, d)
 REFS = "ref_field string, rec_id bigint, key string, t timestamp_ntz"
@@ -82,6 +83,26 @@ def test_graphs(spark):
     assert got == {1: (1, False), 2: (1, False), 3: (1, False), 4: (1, False), 5: (1, False), 6: (6, False), 7: (7, True), 8: (8, False)}
 
 
+def test_cycles_search_each_binary_by_itself(spark, data, monkeypatch):
+    def rounds(*_):
+        raise AssertionError("small binaries went through rounds of joins")
+
+    monkeypatch.setattr(graph, "trim", rounds)
+    assert rows(cycles(spark, data), "component", "members") == rows(components(spark, data).groupBy("component").agg(F.count("*").alias("members")), "component", "members")
+
+
+def test_rest_of_a_large_part_is_finished_in_one_call(spark):
+    import random
+
+    rnd = random.Random(5)
+    pairs = [(a + p * 100, b + p * 100, p) for p, n in ((1, 120), (2, 70), (3, 5)) for a, b in ((rnd.randrange(90), rnd.randrange(90)) for _ in range(n))] + [(i + 90, 90 + (i + 1) % 9, 0) for i in range(9)]
+    e = spark.createDataFrame(pairs, "src bigint, dst bigint, p int")
+    want = rows(strong_components(e), "v", "component")
+    assert want
+    for local in (40, 90):
+        assert rows(strong_components(e, "p", local=local), "v", "component") == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 40])
 def test_long_chain_is_one_component(spark, n):
     e = spark.createDataFrame([(i, i + 1) for i in range(n)], "a bigint, b bigint")
