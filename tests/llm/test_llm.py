@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.credentials import Finder, Segmenter, secrets
 from lodestrata.llm.encoding import Repairer, align, garbled, tokens_of, twins, undo, word_repairs
 from lodestrata.llm.leakage import leaks
-from lodestrata.llm.neardup import MinMax, expand, shingles, similar_classes
+from lodestrata.llm.neardup import MinMax, expand, nominated, outline, packed, shingles, similar_classes, sketches, unpacked
 from lodestrata.llm.packing import Slots, encoding, pack, plan
 from lodestrata.llm.spam import spam_scores, train
 
@@ -316,6 +316,30 @@ def test_min_and_max_estimate_similarity_without_bias():
     assert abs(np.mean(err)) < 0.015 and np.std(err) < 0.05
 
 
+def test_outlines_never_differ_more_than_the_sets():
+    rnd = np.random.default_rng(4)
+    for n in (1, 30, 150, 3000):
+        both, a, b = (rnd.integers(0, 1 << 63, n, dtype=np.uint64) for _ in range(3))
+        x, y = unpacked(packed(np.r_[both, a])), unpacked(packed(np.r_[both, b[: n // 3]]))
+        assert np.bitwise_count((outline(x) ^ outline(y)).view(np.uint64)).sum() <= len(np.setxor1d(x, y))
+
+
+@pytest.mark.parametrize("block", [8, 2000])
+def test_pairs_that_only_share_a_frame_are_never_written(spark, block):
+    """400 texts share a fifth of their words, so many meet in some band; 20 of them have a near copy. With blocks of 8 the frame's keys are hot."""
+    rnd = random.Random(9)
+    frame = " ".join(f"frame{i}" for i in range(22))
+    texts = {i: frame + " " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for i in range(400)}
+    texts |= {i + 1000: texts[i].rsplit(" ", 8)[0] + " other words at the end" for i in range(20)}
+    df = spark.createDataFrame(list(texts.items()), "id bigint, c string")
+    sets = {i: set(shingles(t).tolist()) for i, t in texts.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 5 >= 3 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in similar_classes(df, "id", ["c"], block=block)[1].select("a", "b").collect()} == want and len(want) == 20
+    made = sketches(df, "id", ["c"])
+    met = nominated(made, made.drop("id", "field", "class", "sh"), 64, 4, 3, 5, block).count()
+    assert 20 <= met < 40
+
+
 def test_words_are_ascii_runs():
     a, b = shingles("é ".join("ab%d" % i for i in range(30)) + " K"), shingles(" ".join("AB%d" % i for i in range(30)) + " K")
     assert a is not None and set(a.tolist()) == set(b.tolist())
